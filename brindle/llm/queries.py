@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, rans, warc
+from . import attention_lm, langid, packing, rans, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,23 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.document_digests(spark, files.path)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    dictionaries = langid.fit_dictionaries(docs.filter(langid.fold_of() != 0))
+    held = F.coalesce(langid.fold_of() == 0, F.lit(False))
+    found = langid.classify(docs, dictionaries)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), _word_bpe(), capacity=4096, end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_documents(spark, _table(spark, sf_dir, "documents"), _word_bpe(), held_out_fold=1)
+
+
 def op7_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archive(spark, _table(spark, sf_dir, "pages"), min_bytes=0)
     records = warc.read_archive(spark, path)
@@ -52,7 +64,9 @@ FROM d
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_language": op2_language,
     "op4_packing": op4_packing,
+    "op6_lm_scores": op6_lm_scores,
     "op7_archive": op7_archive,
 }
 ORACLES = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import attention_lm, langid, packing, rans, warc
+from . import attention_lm, langid, packing, quality, rans, secret_scan, sketch, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,31 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    with_verdict = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long")
+    return spans.select(
+        "doc_id",
+        of(0).alias("n_assign"),
+        of(1).alias("n_access"),
+        of(2).alias("n_hex"),
+        F.sha2(secret_scan.span_text(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("spans")).alias("spans"),
+        with_verdict("live").alias("n_live"),
+        with_verdict("example").alias("n_example"),
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), _word_bpe(), capacity=4096, end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score_documents(spark, _table(spark, sf_dir, "documents"), _word_bpe(), held_out_fold=1)
 
@@ -44,6 +64,10 @@ def op7_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 OP7_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html FROM pages
@@ -65,9 +89,12 @@ FROM d
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_language": op2_language,
+    "op3_secrets": op3_secrets,
     "op4_packing": op4_packing,
+    "op5_fingerprints": op5_fingerprints,
     "op6_lm_scores": op6_lm_scores,
     "op7_archive": op7_archive,
+    "op8_quality": op8_quality,
 }
 ORACLES = {
     "op7_archive": OP7_SQL,

@@ -21,8 +21,8 @@ import numpy as np
 CACHE_WORDS = 600_000
 #: Longer words are encoded each time and not kept.
 CACHE_WORD_CHARS = 64
-#: Letters that NFC leaves alone, with a run of signs after them or none: two pre-tokens at most.
-SIMPLE_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*&%$#|]*)")
+#: Letters that NFC leaves alone, then a run of signs; one pre-token each.
+SIMPLE_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?*&%$#|]*)")
 #: Words on which the direct path must agree with the library before it is used.
 PROBES = ("the", "Straße", "Éviter,", "naïve", "thatENING***", "a.", "ñandú;:", "Ÿ", "oficial")
 
@@ -56,6 +56,38 @@ def words_stand_alone(config: dict) -> bool:
     )
 
 
+class WordIds(dict):
+    """Ids of words as bytes; a word that isn't there is encoded when it is asked for."""
+
+    def __init__(self, tokenizer, direct: bool):
+        super().__init__({"": b""})
+        self.tokenizer, self.model, self.direct = tokenizer, tokenizer.model, direct
+        self.letters = byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > CACHE_WORD_CHARS:
+            return self.by_library(word)
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+            self[""] = b""
+        simple = self.direct and SIMPLE_WORD.fullmatch(word)
+        ids = self[word] = self.by_model(*simple.groups()) if simple else self.by_library(word)
+        return ids
+
+    def by_library(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def by_model(self, letters: str, signs: str) -> bytes:
+        """Ids of a word that SIMPLE_WORD matches, straight from the model."""
+        if letters and signs:
+            return self[letters.lower()] + self[signs]
+        piece = letters.lower() or signs
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class SubwordEncoder:
     """Encodes whole texts to little-endian unsigned 32-bit ids."""
 
@@ -67,71 +99,33 @@ class SubwordEncoder:
             config = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        marks = [t for t in config.get("added_tokens", []) if t.get("special") and not t.get("normalized")]
-        self.mark, self.mark_id = (marks[-1]["content"], marks[-1]["id"]) if marks else (None, -1)
-        self.cached = bool(marks) and words_stand_alone(config)
-        self.cache: dict[str, bytes] = {"": b""}
-        self.letters = byte_letters()
-        self.direct = self.cached and all(
-            self._simple(w) == np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            for w in PROBES
-            if SIMPLE_WORD.fullmatch(w)
-        )
-
-    def _piece(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _simple(self, word: str) -> bytes:
-        """Ids of a word that SIMPLE_WORD matches, straight from the model."""
-        letters, signs = SIMPLE_WORD.fullmatch(word).groups()
-        letters = letters.lower()
-        ids = self.cache.get(letters) or self._piece(letters)
-        if signs:
-            self.cache[letters] = ids
-            tail = self.cache.get(signs)
-            if tail is None:
-                tail = self.cache[signs] = self._piece(signs)
-            ids += tail
-        return ids
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain, own, found = [], [], {}
-        for w in words:
-            if len(w) > CACHE_WORD_CHARS or "<" in w:
-                own.append(w)
-            elif self.direct and SIMPLE_WORD.fullmatch(w):
-                found[w] = self._simple(w)
-            else:
-                plain.append(w)
-        for at in range(0, len(plain), 256):
-            part = plain[at : at + 256]
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            starts, ends = np.append(0, cuts + 1) * 4, np.append(cuts, len(ids)) * 4
-            raw = ids.tobytes()
-            found.update((w, raw[a:b]) for w, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True))
-        if len(self.cache) + len(found) > CACHE_WORDS:
-            self.cache = {"": b""}
-        self.cache.update(found)
-        for w in own:
-            found[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return found
+        #: What every special token starts with: texts with it keep their case, in which the tokens are looked for.
+        self.opening = os.path.commonprefix([t["content"] for t in config.get("added_tokens", [])])
+        self.cached = words_stand_alone(config)
+        self.lowers = any(n.get("type") == "Lowercase" for n in (config.get("normalizer") or {}).get("normalizers", []))
+        self.words = WordIds(self.tokenizer, False)
+        probes = [w for w in PROBES if SIMPLE_WORD.fullmatch(w)]
+        self.words.direct = self.lowers and all(self.words.by_model(*SIMPLE_WORD.fullmatch(w).groups()) == self.words.by_library(w) for w in probes)
+        self.words.clear()
+        self.words[""] = b""
+
+    def split(self, text: str) -> list[str]:
+        """Words that can be encoded one by one, lower-case where that can't matter."""
+        if self.lowers and self.opening not in text:
+            try:
+                text.encode("latin-1")  # beyond, lower case may depend on neighbours
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one whole text (null: none)."""
         if not text:
             return b""
         if not self.cached:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        out = list(map(self.cache.get, words))
-        if None in out:
-            new = self._learn(list(dict.fromkeys(w for w, x in zip(words, out, strict=True) if x is None)))
-            out = [new[w] if x is None else x for w, x in zip(words, out, strict=True)]
-        return b"".join(out)
+            return self.words.by_library(text)
+        return b"".join(map(self.words.__getitem__, self.split(text)))
 
 
 @functools.lru_cache(maxsize=2)

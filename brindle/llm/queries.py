@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import attention_lm, langid, packing, quality, rans, secret_scan, sketch, warc
+from . import attention_lm, jaccard_join, langid, packing, quality, rans, secret_scan, sketch, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(spark, _table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 OP7_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html FROM pages
@@ -86,6 +90,37 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE
+    WHEN len(ws) >= 4 THEN list_distinct(list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' ')))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')]
+    ELSE [] END AS shingles
+  FROM w
+), n AS (
+  SELECT doc_id, len(shingles)::BIGINT AS n_shingles FROM s
+), e AS (
+  SELECT doc_id, unnest(shingles) AS shingle FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n_shingles, nb.n_shingles
+  HAVING 100 * count(*) >= 85 * (na.n_shingles + nb.n_shingles - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT n.doc_id, n.n_shingles, least(n.doc_id, min(reach.b)) AS component_id
+FROM n JOIN reach ON reach.a = n.doc_id
+GROUP BY n.doc_id, n.n_shingles
+"""
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_language": op2_language,
@@ -95,7 +130,9 @@ QUERIES = {
     "op6_lm_scores": op6_lm_scores,
     "op7_archive": op7_archive,
     "op8_quality": op8_quality,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES = {
     "op7_archive": OP7_SQL,
+    "op10_jaccard_join": OP10_SQL,
 }

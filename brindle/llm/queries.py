@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import attention_lm, jaccard_join, langid, packing, quality, rans, secret_scan, sketch, warc
+from . import attention_lm, jaccard_join, langid, mixing, packing, quality, rans, secret_scan, sketch, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), max_repeats=2.0)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(spark, _table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
@@ -130,6 +134,7 @@ QUERIES = {
     "op6_lm_scores": op6_lm_scores,
     "op7_archive": op7_archive,
     "op8_quality": op8_quality,
+    "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES = {

@@ -1,7 +1,7 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Similar documents are partitioned into groups by the least hash of their
-shingle sets.  The matrix holds each group's union of shingles.  A document can
+shingle sets and by size, since sets of very unlike sizes can't be alike.  The matrix holds each group's union of shingles.  A document can
 only reach the threshold with a member of a group if the group's union holds
 that share of the document's shingles, so groups below the bound stay shut, and
 members of the others are compared exactly.
@@ -19,6 +19,7 @@ is sent to the driver or broadcast.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,11 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def size_band(n: int, num: int, den: int) -> int:
+    """Sets that reach the threshold lie in the same band or in neighbouring ones."""
+    return math.floor(math.log(n) / math.log(den / num) + 1e-9) if num < den else n
+
+
 def _digests(docs: DataFrame, size: int, least: int) -> DataFrame:
     """Rows (doc_id, n, sig) of all documents, and (token, count) of shingles that are frequent within a task."""
 
@@ -107,7 +113,7 @@ class Order:
 
 
 def _prefixes(docs: DataFrame, size: int, num: int, den: int, order) -> DataFrame:
-    """doc_id, sig, least (hash) and prefix of every document with shingles."""
+    """doc_id, sig, least (hash), band (of its size) and prefix of every document with shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -116,13 +122,13 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, order) -> DataFram
         for batch in batches:
             sets = shingle_sets(batch.column(1), size)
             ids = batch.column(0).to_pylist()
-            rows = [(i, xxhash.xxh3_128_digest(s.tobytes()), s[0].view(np.int64), ranked.first(s, prefix_length(len(s), num, den)).view(np.int64)) for i, s in zip(ids, sets, strict=True) if len(s)]
+            rows = [(i, xxhash.xxh3_128_digest(s.tobytes()), s[0].view(np.int64), size_band(len(s), num, den), ranked.first(s, prefix_length(len(s), num, den)).view(np.int64)) for i, s in zip(ids, sets, strict=True) if len(s)]
             if rows:
-                i, sig, least, prefix = zip(*rows, strict=True)
+                i, sig, least, band, prefix = zip(*rows, strict=True)
                 flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32), np.concatenate(prefix))
-                yield pa.record_batch([pa.array(i, pa.int64()), pa.array(sig, pa.binary()), pa.array(np.array(least)), flat], names=["doc_id", "sig", "least", "prefix"])
+                yield pa.record_batch([pa.array(i, pa.int64()), pa.array(sig, pa.binary()), pa.array(np.array(least)), pa.array(band, pa.int64()), flat], names=["doc_id", "sig", "least", "band", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, sig binary, least long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, sig binary, least long, band long, prefix array<long>")
 
 
 class Group:
@@ -231,7 +237,7 @@ def link_documents(
     den: int = 100,
     group_members: int = 400,
     frequent_tokens: int = 500_000,
-    frequent_in_task: int = 4,
+    frequent_in_task: int = 2,
     common_groups: int = 256,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -266,12 +272,12 @@ def link_documents(
     for turn in range(3):
         order = spark.sparkContext.broadcast((tokens, often))
         own = _prefixes(rows, size, num, den, order).join(classes.select(F.col("sig").alias("sig2"), "node"), (F.col("sig") == F.col("sig2")) & (F.col("doc_id") == F.col("node")))
-        held = space.save(own.dropDuplicates(["sig"]).select("node", "least", "prefix"), f"prefixes{turn}")
-        crowd = held.groupBy("least").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > group_members)
+        held = space.save(own.dropDuplicates(["sig"]).select("node", "least", "band", "prefix"), f"prefixes{turn}")
+        crowd = held.groupBy("least", "band").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > group_members)
         share = F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / group_members))
-        placed = held.join(crowd, "least", "left").select("node", F.xxhash64("least", F.coalesce(share, F.lit(0).cast("long"))).alias("gid"), "prefix")
+        placed = held.join(crowd, ["least", "band"], "left").select("node", F.xxhash64("least", "band", F.coalesce(share, F.lit(0).cast("long"))).alias("gid"), "band", "prefix")
         groups = space.save(placed, f"groups{turn}")
-        meet = groups.select("gid", F.explode("prefix").alias("token")).repartition(max(shuffle_partitions(spark), 1), "token").distinct()
+        meet = groups.select("gid", "band", F.explode("prefix").alias("token")).repartition(max(shuffle_partitions(spark), 1), "token").distinct()
         spread = meet.groupBy("token").agg(F.count("*").alias("count")).filter(F.col("count") >= common_groups)
         more, times = _frequent(spread, frequent_tokens)
         new = ~np.isin(more, tokens)
@@ -283,8 +289,9 @@ def link_documents(
         space.drop(f"groups{turn}")
 
     # groups that may hold partners of one another
-    a, b = meet.select("token", F.col("gid").alias("ga")), meet.select(F.col("token").alias("token2"), F.col("gid").alias("gb"))
-    pairs = space.save(a.join(b, (F.col("token") == F.col("token2")) & (F.col("ga") < F.col("gb"))).select("ga", "gb").distinct(), "pairs")
+    a, b = meet.select("token", F.col("gid").alias("ga"), "band"), meet.select(F.col("token").alias("token2"), F.col("gid").alias("gb"), F.col("band").alias("band2"))
+    near = F.abs(F.col("band") - F.col("band2")) <= 1 if num < den else F.col("band") == F.col("band2")
+    pairs = space.save(a.join(b, (F.col("token") == F.col("token2")) & (F.col("ga") < F.col("gb")) & near).select("ga", "gb").distinct(), "pairs")
     members = groups.select("gid", "node")
     larger = members.groupBy("gid").agg(F.count("*").alias("rows")).filter("rows > 1").select("gid")
     opened = larger.union(pairs.select("gb")).distinct().select(F.col("gid").alias("target"))

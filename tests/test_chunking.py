@@ -1,0 +1,71 @@
+"""The chunker on golden offsets, against a plain version, and its properties."""
+
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from brindle.functions.chunking import chunk_offsets, chunks
+
+GOLDEN = [
+    ("a" * 150, [(0, 150)]),
+    ("a" * 200, [(0, 200)]),
+    ("a" * 201, [(0, 201), (1, 201)]),
+    ("a" * 500, [(0, 500), (300, 500)]),
+    ("a" * 1000, [(0, 1000), (800, 1000)]),
+    ("a" * 1200, [(0, 1000), (800, 1200), (1000, 1200)]),
+    ("a" * 1800, [(0, 1000), (800, 1800), (1600, 1800)]),
+    ("a" * 850 + "\n\n" + "b" * 500, [(0, 852), (652, 1352), (1152, 1352)]),
+    ("ab " * 400, [(0, 999), (799, 1200), (1000, 1200)]),
+]
+
+
+def plain(text, size=1000, overlap=200):
+    out, start = [], 0
+    while start < len(text):
+        end = min(start + size, len(text))
+        if end < len(text):
+            low = start + int(size * 0.8)
+            for mark in ("\n\n", "\n", ". ", " "):
+                at = text.rfind(mark, low, end)
+                if at >= 0:
+                    end = at + len(mark)
+                    break
+        out.append((start, end))
+        start = end - overlap if end - overlap > start else end
+    return out
+
+
+def offsets(spark, texts, size=1000, overlap=200):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select("i", chunk_offsets(F.col("t"), size, overlap).alias("s")).collect()
+    return [[tuple(s) for s in r["s"] or []] for r in sorted(rows, key=lambda r: r["i"])]
+
+
+def test_golden(spark):
+    assert offsets(spark, [t for t, _ in GOLDEN]) == [w for _, w in GOLDEN]
+    assert [plain(t) for t, _ in GOLDEN] == [w for _, w in GOLDEN]
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(1000, 200), (50, 10), (10, 10), (10, 25), (7, 6), (1, 0)])
+def test_against_plain(spark, size, overlap):
+    texts = ["", " ", "x", "a b. c\n\nd " * 30, "😀é " * 90, "word " * 77 + "\n\n" + "z" * 140, "\n" * 120]
+    assert offsets(spark, texts, size, overlap) == [plain(t, size, overlap) for t in texts]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(alphabet="ab. \n", max_size=400), min_size=1, max_size=12))
+def test_coverage(spark, texts):
+    for text, spans in zip(texts, offsets(spark, texts, 60, 12), strict=True):
+        assert spans == plain(text, 60, 12)
+        covered = set()
+        for a, b in spans:
+            covered |= set(range(a, b))
+        assert covered == set(range(len(text)))
+        if len(text) > 12:
+            assert spans[-1] == (len(text) - 12, len(text))
+
+
+def test_rows(spark):
+    df = spark.createDataFrame([(1, "a" * 500), (2, None), (3, ""), (4, "   "), (5, " x ")], "id int, text string")
+    rows = [tuple(r) for r in chunks(df, "text").orderBy("id", "chunk_index").collect()]
+    assert rows == [(1, 0, 0, 500, "a" * 500), (1, 1, 300, 500, "a" * 200), (5, 0, 0, 3, "x")]

@@ -1,0 +1,89 @@
+"""BM25, nearest neighbours and fusion against plain versions."""
+
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from brindle.functions.text import TOKEN
+from brindle.operators import fusion, lexical, nearest
+
+TEXTS = {1: "the cat sat on the mat", 2: "the dog", 3: "a cat and a dog and a cat", 4: "", 5: "the the the end", 6: "zebra cat"}
+
+
+def plain_bm25(texts, query):
+    toks = {i: re.findall(TOKEN, t.lower()) for i, t in texts.items()}
+    n, avg = len(texts), sum(map(len, toks.values())) / len(texts)
+    df = Counter(w for t in toks.values() for w in set(t))
+    raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    idf = {w: v if v >= 0 else 0.25 * mean for w, v in raw.items()}
+    out = {}
+    for i, t in toks.items():
+        tf = Counter(t)
+        s = sum(idf.get(w, 0) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(t) / avg)) for w in re.findall(TOKEN, query.lower()) if tf[w])
+        if s > 0:
+            out[i] = s
+    return sorted(out.items(), key=lambda x: (-round(x[1], 9), x[0]))
+
+
+@pytest.mark.parametrize("query", ["cat", "cat cat dog", "the cat", "the", "nothing", "!!!"])
+def test_bm25(spark, query):
+    df = spark.createDataFrame(list(TEXTS.items()), "id int, text string")
+    got = lexical.search(lexical.build(df, "id", "text"), lexical.query_table(spark, {"q": query}), 4).orderBy("rank").collect()
+    want = plain_bm25(TEXTS, query)[:4]
+    assert [r["id"] for r in got] == [i for i, _ in want]
+    assert [r["score"] for r in got] == pytest.approx([s for _, s in want])
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1))
+
+
+def test_bm25_empty(spark):
+    df = spark.createDataFrame([], "id int, text string")
+    assert lexical.search(lexical.build(df, "id", "text"), lexical.query_table(spark, {"q": "cat"}), 4).collect() == []
+
+
+def test_nearest(spark):
+    r = np.random.default_rng(1)
+    data = np.round(r.standard_normal((60, 8)), 2)
+    data[7] = data[3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)] + [(99, None)], "id long, embedding array<float>").repartition(3)
+    want = lambda q: sorted(range(60), key=lambda i: (round(float(((data[i].astype("f4").astype(float) - q) ** 2).sum()), 9), i))[:5]
+    assert [x["id"] for x in nearest.nearest(df, data[3].tolist(), 5).orderBy("rank").collect()][:2] == [3, 7]
+    asked = {f"q{i}": np.round(r.standard_normal(8), 3) for i in range(4)}
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in asked.items()], "query_id string, vector array<double>")
+    got = nearest.nearest_batch(df, queries, 5).collect()
+    for k, q in asked.items():
+        assert [x["id"] for x in sorted((x for x in got if x["query_id"] == k), key=lambda x: x["rank"])] == want(q)
+    with pytest.raises(ValueError):
+        nearest.nearest_batch(df, queries, 5, max_queries=3)
+
+
+def test_nearest_approximate(spark):
+    r = np.random.default_rng(2)
+    data = r.standard_normal((300, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, embedding array<float>")
+    hits = 0
+    for q in range(0, 300, 60):
+        exact = {x["id"] for x in nearest.nearest(df, data[q].tolist(), 10).collect()}
+        near = {x["id"] for x in nearest.nearest_approximate(spark, df, data[q].tolist(), 10, bucket_length=4.0, tables=12).collect()}
+        hits += len(exact & near)
+    assert hits >= 45  # a recall of 0.9
+
+
+@pytest.mark.parametrize(
+    ("alpha", "s", "b", "score", "method"),
+    [
+        (0.5, 1, 1, 0.016393, "hybrid"),
+        (0.5, 2, 1, 0.016261, "hybrid"),
+        (0.5, 1, None, 0.008668, "semantic"),
+        (0.5, None, 1, 0.008668, "keyword"),
+        (1.0, None, 1, 0.000943, "keyword"),
+        (0.0, 1, None, 0.000943, "semantic"),
+    ],
+)
+def test_fusion(spark, alpha, s, b, score, method):
+    leg = lambda rank: spark.createDataFrame([("q", "x", rank)] if rank else [], "query_id string, id string, rank int")
+    row = fusion.fuse(leg(s), leg(b), alpha, 5).first()
+    assert (row["score"], row["search_method"], row["semantic_rank"], row["bm25_rank"]) == (score, method, s, b)

@@ -116,9 +116,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
     heads = spark.read.parquet(f"{path}/headers")
     said = lambda pattern: F.regexp_extract("head", pattern, 1)
-    kind, refers = said(r"(?m)^WARC-Type: (\w+)\r$"), said(r"(?m)^WARC-Refers-To: <urn:page:(-?\d+)>\r$")
+    kind, refers = said(r"(?m)^WARC-Type: (\w+)$"), said(r"(?m)^WARC-Refers-To: <urn:page:(-?\d+)>$")
     parsed = heads.select(
-        "page_id", "address", "head", kind.alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"), said(r"(?m)^WARC-Payload-Digest: sha1:(\w+)\r$").alias("digest")
+        "page_id", "address", "head", kind.alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"), said(r"(?m)^WARC-Payload-Digest: sha1:(\w+)$").alias("digest")
     )
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")
     return parsed.join(checked, "address").select(

@@ -5,6 +5,8 @@ All are column expressions that Spark evaluates in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The patterns.
@@ -17,6 +19,11 @@ PY_CLASS = r"(?Umd)^class\s+(\w+)\s*[:\(]"
 PY_IMPORT = r"(?Umd)^(?:from\s+[\w.]+\s+)?import\s+[\w.,\s]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of a-z, 0-9 and inner hyphens."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))

@@ -6,12 +6,13 @@ it.  A search touches the postings of its terms only, whatever the corpus holds.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import BM25_B, BM25_EPSILON, BM25_K1
-from ..functions.text import tokens
+from ..functions.text import TOKEN, tokens
 
 #: Scores are compared at this many decimals, so that sums in another order rank alike.
 DECIMALS = 9
@@ -26,10 +27,14 @@ class LexicalIndex:
     corpus: DataFrame
 
 
-def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf and dl (tokens of the text).  Texts without tokens have no rows."""
+def postings(df: DataFrame, id_col: str, text_col: str, terms: list[str] | None = None) -> DataFrame:
+    """id, term, tf and dl (tokens of the text).  Texts without tokens have no rows.
+
+    terms: only these, sorted out before anything is counted or shuffled.
+    """
     split = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    words = split.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    wanted = F.col("t") if terms is None else F.filter("t", lambda x: x.isin(terms))
+    words = split.select("id", F.size("t").cast("long").alias("dl"), F.explode(wanted).alias("term"))
     return words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -41,9 +46,15 @@ def corpus_stats(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
+    """term, df from postings."""
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def text_frequency(df: DataFrame, text_col: str) -> DataFrame:
+    """term, df from texts: one shuffle, of partial counts."""
+    return df.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def term_stats(frequency: DataFrame, corpus: DataFrame) -> DataFrame:
     """term, df, idf.  Terms of more than half the texts get a share of the mean idf instead of a negative one."""
     n = F.broadcast(corpus.select("n_docs"))  # one row
@@ -52,9 +63,11 @@ def term_stats(frequency: DataFrame, corpus: DataFrame) -> DataFrame:
     return raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, F.lit(BM25_EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def build(df: DataFrame, id_col: str, text_col: str) -> LexicalIndex:
-    index, corpus = postings(df, id_col, text_col), corpus_stats(df, text_col)
-    return LexicalIndex(index, term_stats(document_frequency(index), corpus), corpus)
+def build(df: DataFrame, id_col: str, text_col: str, queries: dict[object, str] | None = None) -> LexicalIndex:
+    """The index of texts, not stored; with ``queries``, postings of their terms only."""
+    terms = None if queries is None else sorted({t for q in queries.values() for t in re.findall(TOKEN, q.lower())})
+    corpus = corpus_stats(df, text_col)
+    return LexicalIndex(postings(df, id_col, text_col, terms), term_stats(text_frequency(df, text_col), corpus), corpus)
 
 
 def query_table(spark: SparkSession, queries: dict[object, str]) -> DataFrame:

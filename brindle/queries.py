@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    """The documents; dealt out where the file has fewer splits than there are cores, since its texts are much work."""
+    rows, cores = table(spark, sf, "documents"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def _index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
-    return lexical.build(docs(spark, sf), "doc_id", "text")
+def _index(spark: SparkSession, sf: str, query: str | None = None) -> lexical.LexicalIndex:
+    return lexical.build(docs(spark, sf), "doc_id", "text", None if query is None else {"q": query})
 
 
 # ---- keyword index -------------------------------------------------------------------------------
@@ -57,7 +59,7 @@ hits AS (SELECT id, score, rank FROM (
 
 def _bm25(query: str, k: int = 15):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        hits = lexical.search(_index(spark, sf), lexical.query_table(spark, {"q": query}), k)
+        hits = lexical.search(_index(spark, sf, query), lexical.query_table(spark, {"q": query}), k)
         return hits.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
     sql = f"WITH {lexical_ctes()}, {bm25_ctes(query, k)} SELECT id AS doc_id, round(score, 6) AS score, rank FROM hits"
@@ -69,7 +71,7 @@ def tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def term_df(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.document_frequency(lexical.postings(docs(spark, sf), "doc_id", "text"))
+    return lexical.text_frequency(docs(spark, sf), "text")
 
 
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,7 +133,7 @@ def _all_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_over_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    hits = lexical.search(lexical.build(_all_chunks(spark, sf), "chunk_id", "text"), lexical.query_table(spark, {"q": RARE_QUERY}), 15)
+    hits = lexical.search(lexical.build(_all_chunks(spark, sf), "chunk_id", "text", {"q": RARE_QUERY}), lexical.query_table(spark, {"q": RARE_QUERY}), 15)
     return hits.select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -192,7 +194,7 @@ def _hybrid(alpha: float, category: str | None = None, scope: str = "semantic",
         if category and scope == "both":  # keyword hits may come from documents without a vector
             vectors = kinds.join(vectors.drop("category"), "id", "left")
         queries = lexical.query_table(spark, {"q": COMMON_QUERY})
-        semantic, keyword = plan.legs(vectors, _index(spark, sf), queries, _query_vector(spark, sf), k, category=category, config=config)
+        semantic, keyword = plan.legs(vectors, _index(spark, sf, COMMON_QUERY), queries, _query_vector(spark, sf), k, category=category, config=config)
         return fusion.fuse(semantic, keyword, alpha, k).drop("query_id")
 
     where = f"v.vec_id IN (SELECT doc_id FROM documents WHERE lang = '{category}')" if category else "v.vec_id IN (SELECT doc_id FROM documents)"

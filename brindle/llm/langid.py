@@ -131,14 +131,18 @@ def classify(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: list[str] | None = None,
+    names: tuple[str, str, str] = ("lang_pred", "score", "rejected"),
 ) -> DataFrame:
     """Predict the language of every whole text.
 
     Returns doc_id, lang_pred, score, rejected; with ``keep``, these columns of
-    the input instead of doc_id.  See :func:`classify_text` for nulls, empty
+    the input instead of doc_id.  ``names`` names the last three, which must not
+    clash with those kept (ValueError).  See :func:`classify_text` for nulls, empty
     texts and ties.  A row for each row, repeated ones too; an empty table gives
     none.  Texts longer than a block are the sum of their blocks.
     """
+    if set(names) & set(keep or []):
+        raise ValueError(f"names {names} clash with kept columns")
     known = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))  # fit_dictionaries bounds it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +153,7 @@ def classify(
                 langs, scores, rejected = zip(*made, strict=True)
                 yield pa.record_batch(
                     [*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
-                    names=[*part.schema.names[1:], "lang_pred", "score", "rejected"],
+                    names=[*part.schema.names[1:], *names],
                 )
 
     if keep is None:
@@ -157,7 +161,7 @@ def classify(
     else:
         rows = docs.select(F.col(text_col).alias("__text"), *[docs[c] for c in keep])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def fold_of(id_col: str = "doc_id") -> Column:

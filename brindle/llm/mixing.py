@@ -100,6 +100,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     keep: list[str] | None = None,
+    names: tuple[str, str, str] = ("epoch", "block", "position"),
 ) -> DataFrame:
     """A row for each time that a document stands in the mixture.
 
@@ -113,9 +114,11 @@ def mix(
 
     Null sources are one source.  Null and empty texts count one token, their
     end.  Rows with null ids share a block.  Repeated rows are mixed each.  An
-    empty table gives no rows.  Columns of the input named like the result's are
-    not allowed in ``keep``.
+    empty table gives no rows.  ``names`` names the last three columns, which
+    must not clash with those kept (ValueError).
     """
+    if set(names) & set(keep or []):
+        raise ValueError(f"names {names} clash with kept columns")
     space = Workspace(docs.sparkSession, "mixing")
     kept = ["doc_id", "source", "n_tokens"] if keep is None else keep
     own = {"doc_id": docs[id_col], "source": docs[source_col], "n_tokens": token_count(docs[text_col])} if keep is None else {c: docs[c] for c in keep}
@@ -139,4 +142,4 @@ def mix(
     )
     turns = space.save(turns, "turns")
     out = placed.join(turns, (F.col("__s") == F.col("__s3")) & (F.col("block") == F.col("__b3"))).withColumn("turn", F.explode("turns"))
-    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)], "turn.epoch", "block", "turn.position")
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)], F.col("turn.epoch").alias(names[0]), F.col("block").alias(names[1]), F.col("turn.position").alias(names[2]))

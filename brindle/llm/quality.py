@@ -99,8 +99,11 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
 
     Null languages and sources are groups of their own.  Null and empty texts
     fail the fixed rules.  Repeated rows are judged each; an empty table gives
-    none.  Columns of the input named like the result's are not allowed in ``keep``.
+    none.  Columns in ``keep`` named like the result's raise ValueError.
     """
+    results = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RULES}
+    if clash := results & set(docs.columns if keep is None else keep):
+        raise ValueError(f"kept columns clash with the result's: {sorted(clash)}")
     space = Workspace(docs.sparkSession, "quality")
     kept = docs.columns if keep is None else keep
     tagged = docs.select(*[docs[c].alias(f"__c{i}") for i, c in enumerate(kept)], docs[text_col].alias("__t"), docs[lang_col].alias("__lang"), docs[source_col].alias("__source"))

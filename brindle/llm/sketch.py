@@ -25,7 +25,8 @@ def shingle_hashes(words: str, size: int = 5) -> Column:
 def below(hashes: Column, scale: int) -> Column:
     """The distinct hashes in the lowest 1/scale of the hash space, ascending."""
     limit = -(1 << 63) + (1 << 64) // scale
-    return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(limit))))
+    low = hashes if scale == 1 else F.filter(hashes, lambda h: h < F.lit(limit))
+    return F.array_sort(F.array_distinct(low))
 
 
 def with_sketch(df: DataFrame, text: Column, name: str, *, size: int = 5, scale: int = 8) -> DataFrame:

@@ -1,0 +1,175 @@
+"""Token files and packing: exact round trips and brute force."""
+
+import itertools
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from brindle.llm import packing, rans
+from brindle.llm.subwords import SubwordEncoder
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def ids_of(library, text, end):
+    ids = library.encode(text or "", add_special_tokens=False).ids + [end]
+    return np.array(ids, dtype="<u4")
+
+
+def test_encoder_is_the_library(library):
+    own, rng = SubwordEncoder(PATH), random.Random(1)
+    signs = ["a", "B", "é", "é", "́", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "1", "²", "'s", "'S", "<|endoftext|>", "<|EndOfText|>", "<", "|", ">", "İ", "ẞ", "Σ", "中", "\r", "\x0b", "'", "."]
+    assert own.cached and own.words.direct
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_other_vocabularies_are_not_cut(library):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = SubwordEncoder(path)
+    assert not own.cached
+    assert np.frombuffer(own.encode("two  words\n x"), "<u4").tolist() == Tokenizer.from_file(path).encode("two  words\n x", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("symbols", "bits"), [(1, 4), (5, 8), (300, 9), (40_000, 18)])
+def test_coder_round_trip(symbols, bits):
+    r = np.random.default_rng(symbols)
+    ids = r.zipf(1.3, 150_000) % symbols
+    counts = np.bincount(ids, minlength=symbols)
+    freq = rans.normalised(counts, bits)
+    assert freq.sum() == 1 << bits and ((freq > 0) == (counts > 0)).all()
+    coder = rans.Coder(freq, bits)
+    blocks = [ids[: rans.BLOCK_IDS], ids[rans.BLOCK_IDS : rans.BLOCK_IDS + 77], ids[:0], ids[-rans.BLOCK_IDS :]]
+    made = coder.encode(blocks)
+    back = coder.decode([(*m, len(b)) for m, b in zip(made, blocks, strict=True)])
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, back, strict=True))
+
+
+def test_coder_refuses_small_tables():
+    with pytest.raises(ValueError):
+        rans.normalised(np.ones(20, np.int64), 4)
+
+
+def test_crc_join():
+    rng = random.Random(2)
+    for _ in range(30):
+        a, b = rng.randbytes(rng.randint(0, 50)), rng.randbytes(rng.randint(0, 500))
+        assert rans.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_token_files(spark, messy, messy_docs, library):
+    path = rans.write_ids(spark, messy_docs, PATH).path
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["n_tokens"], r["ids_crc32"]) for r in rans.document_digests(spark, path).collect()), key=lambda r: r[2])
+    assert len(got) == len(messy)
+    want = sorted((i is not None, i or 0, len(ids_of(library, t, 1)), zlib.crc32(ids_of(library, t, 1).tobytes())) for i, t, *_ in messy)
+    assert sorted((a, b, n, c) for a, b, _, n, c in got) == want
+    place = 0
+    for (_, _, start, n, _), before in zip(got, [got[0], *got], strict=False):
+        assert start == place
+        place += n
+        assert (got[0][:2]) <= before[:2]
+    assert [g[:2] for g in got] == sorted(g[:2] for g in got)  # ascending ids, null first
+
+
+def test_segments_give_the_ids_back(spark, messy, messy_docs, library):
+    path = rans.write_ids(spark, messy_docs.filter("doc_id = 105"), PATH).path
+    parts = sorted((r["seg_start"], r["ids"]) for r in rans.read_segments(spark, path).collect())
+    whole = next(t for i, t, *_ in messy if i == 105)
+    assert len(parts) >= 2 and b"".join(p for _, p in parts) == ids_of(library, whole, 1).tobytes()
+
+
+def test_a_flipped_bit_is_found(spark, messy_docs, tmp_path):
+    path = rans.write_ids(spark, messy_docs, PATH).path
+    blocks = spark.read.parquet(f"{path}/blocks")
+    flip = F.concat(F.substring("words", 1, 400), F.unhex(F.lit("5A")), F.expr("substring(words, 402)"))
+    blocks.withColumn("words", flip).write.parquet(f"{tmp_path}/blocks")
+    for other in ("frequencies", "shards"):
+        spark.read.parquet(f"{path}/{other}").write.parquet(f"{tmp_path}/{other}")
+    with pytest.raises(Exception, match="checksum"):
+        rans.document_digests(spark, str(tmp_path)).collect()
+
+
+def test_no_documents(spark, empty_docs):
+    assert rans.document_digests(spark, rans.write_ids(spark, empty_docs, PATH).path).collect() == []
+    assert packing.pack_documents(empty_docs, PATH).collect() == []
+
+
+def test_closest_subset():
+    rng = random.Random(3)
+    for _ in range(300):
+        lengths = sorted({rng.randint(1, 12) for _ in range(4)})
+        counts, room = {n: rng.randint(1, 3) for n in lengths}, rng.randint(0, 30)
+        sums = [sum(n * k for n, k in zip(lengths, ks, strict=True)) for ks in itertools.product(*[range(counts[n] + 1) for n in lengths])]
+        total, used = packing.closest_subset(lengths, counts, room)
+        assert total == max(s for s in sums if s <= room) == sum(n * k for n, k in used.items())
+        assert all(0 < k <= counts[n] for n, k in used.items())
+
+
+def test_pack_lengths():
+    rng = random.Random(4)
+    for _ in range(200):
+        capacity = rng.choice([8, 16, 64])
+        rests = [(i, rng.randint(1, capacity - 1)) for i in range(rng.randint(0, 40))]
+        pieces = {i: [] for i, _ in rests}
+        for window in packing.pack_lengths(rests, capacity):
+            fill = sum(n for *_, n in window)
+            assert fill == capacity or fill & (fill - 1) == 0
+            for i, start, n in window:
+                pieces[i].append((start, n))
+        for i, length in rests:
+            place = 0
+            for start, n in sorted(pieces[i]):
+                assert start == place and n > 0
+                place += n
+            assert place == length
+
+
+def test_whole_remainders_are_kept_where_they_fit():
+    windows = packing.pack_lengths([(0, 60), (1, 40), (2, 24), (3, 4)], 64)
+    assert sorted(sorted(n for *_, n in w) for w in windows) == [[4, 60], [24, 40]]
+
+
+@pytest.mark.parametrize("pool", [500, 2_000_000])
+def test_packing(messy, messy_docs, library, pool):
+    rows = packing.pack_documents(messy_docs, PATH, capacity=256, pool_tokens=pool).collect()
+    fills, texts = {}, {}
+    for r in rows:
+        assert len(r["ids"]) == 4 * r["length"] > 0
+        fills.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        texts.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["ids"]))
+    for parts in fills.values():
+        place = 0
+        for offset, n in sorted(parts):
+            assert offset == place
+            place += n
+        assert place == 256 or place & (place - 1) == 0
+    want = {}
+    for i, t, *_ in messy:
+        own = ids_of(library, t, 2)
+        want.setdefault((i, len(own)), []).append(own.tobytes())
+    for key, raws in want.items():
+        raw, copies = raws[0], len(raws)
+        got = texts.pop(key)
+        for copy in range(copies):  # repeated rows: every piece as often as the row
+            place, ordered = 0, sorted(got)
+            for start, ids in ordered[copy::copies] if copies > 1 else ordered:
+                assert raw[start * 4 : start * 4 + len(ids)] == ids
+                place += len(ids)
+            assert copies > 1 or place == len(raw)
+        assert sum(len(ids) for _, ids in got) == copies * len(raw)
+    assert not texts
+
+
+def test_padding_is_none(spark, messy_docs):
+    assert packing.padding(packing.pack_documents(messy_docs, PATH)).first()["n_padding"] == 0

@@ -69,3 +69,14 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "a" * 500), (2, None), (3, ""), (4, "   "), (5, " x ")], "id int, text string")
     rows = [tuple(r) for r in chunks(df, "text").orderBy("id", "chunk_index").collect()]
     assert rows == [(1, 0, 0, 500, "a" * 500), (1, 1, 300, 500, "a" * 200), (5, 0, 0, 3, "x")]
+
+
+def test_table_function(spark):
+    from brindle.functions.tables import register
+
+    register(spark)
+    texts = ["", "x", "a b. c\n\nd " * 200, "😀é " * 900, "   "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    df.createOrReplaceTempView("chunk_texts")
+    got = spark.sql("SELECT d.id, c.chunk_index, c.start_char, c.end_char, c.content FROM chunk_texts d, LATERAL chunk_text(d.text, 1000, 200) c")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chunks(df, "text").collect()))

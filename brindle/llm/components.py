@@ -24,13 +24,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return across.union(least.select("w", "m")).distinct()
 
 
-def components(links: DataFrame, space: Workspace) -> DataFrame:
+def components(links: DataFrame, space: Workspace, name: str = "") -> DataFrame:
     """node, root: the least node reachable from each node of ``links`` (a, b), for all but the roots themselves."""
-    edges = space.save(links.select("a", "b").filter("a <> b").distinct(), "edges0")
+    edges = space.save(links.select("a", "b").filter("a <> b").distinct(), f"edges{name}0")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     before, turn = None, 0
     while (now := mark(edges)) != before:
         before, turn = now, turn + 1
-        edges = space.save(_small_star(_large_star(edges)), f"edges{turn}")
-        space.drop(f"edges{turn - 1}")
+        edges = space.save(_small_star(_large_star(edges)), f"edges{name}{turn}")
+        space.drop(f"edges{name}{turn - 1}")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -24,14 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .components import components
 from .shingles import shingle_sets
-from .workspace import Workspace, shuffle_partitions
+from .workers import release
+from .workspace import Workspace, sent, shuffle_partitions
 
 #: Shingles that a task gathers before it counts the frequent ones.
-COUNT_SHINGLES = 4_000_000
+COUNT_SHINGLES = 2_000_000
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: sets take more room than texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -64,7 +72,7 @@ def _digests(docs: DataFrame, size: int, least: int) -> DataFrame:
             none = [pa.nulls(len(tokens), t) for t in (pa.int64(), pa.int64(), pa.binary())]
             return pa.record_batch([*none, pa.array(tokens), pa.array(times[often].astype(np.int64))], names=names)
 
-        for batch in batches:
+        for batch in _parts(batches):
             sets = shingle_sets(batch.column(1), size)
             sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             n = len(sets)
@@ -79,6 +87,7 @@ def _digests(docs: DataFrame, size: int, least: int) -> DataFrame:
                 if count >= COUNT_SHINGLES:
                     yield frequent()
         yield frequent()
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, token long, count long")
 
@@ -119,7 +128,7 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, order) -> DataFram
         import xxhash
 
         ranked = Order(*order.value)
-        for batch in batches:
+        for batch in _parts(batches):
             sets = shingle_sets(batch.column(1), size)
             ids = batch.column(0).to_pylist()
             rows = [(i, xxhash.xxh3_128_digest(s.tobytes()), s[0].view(np.int64), size_band(len(s), num, den), ranked.first(s, prefix_length(len(s), num, den)).view(np.int64)) for i, s in zip(ids, sets, strict=True) if len(s)]
@@ -179,8 +188,8 @@ class Group:
         return [(node, self.nodes[j]) for j in cells.values() if self.nodes[j] != node]
 
 
-def _links(work: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b from rows (target, role, node, tokens) that lie together by target, members (role 0) first."""
+def _links(work: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """a, b from rows (target, role, node, text) that lie together by target, members (role 0) first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, nodes, sets, group, out = None, [], [], None, []
@@ -191,9 +200,10 @@ def _links(work: DataFrame, num: int, den: int) -> DataFrame:
                 group = Group(nodes, sets, num, den)
                 out.extend(group.inner_links(sets))
 
-        for batch in batches:
-            for at, role, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(raw, np.uint64)
+        for batch in _parts(batches):
+            for at, role, node, own in zip(*(c.to_pylist() for c in batch.columns[:3]), shingle_sets(batch.column(3), size), strict=True):
+                if not len(own):  # another text of the id
+                    continue
                 if at != target:
                     open_group()
                     target, nodes, sets, group = at, [], [], None
@@ -228,6 +238,23 @@ def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["token"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
 
 
+def _representatives(rows: DataFrame, digests: DataFrame, classes: DataFrame, most: int):
+    """A function that keeps one row of each class, as ``node``, of rows (doc_id, sig, ...)."""
+    others = digests.filter("n > 0").join(classes, "sig").filter("doc_id is null or doc_id <> node").select(F.col("doc_id").alias("id2"), F.col("sig").alias("sig2"))
+    again = digests.filter("n > 0").groupBy("doc_id", "sig").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
+
+    def keep(df: DataFrame) -> DataFrame:
+        if others.limit(most + 1).count() <= most:
+            same = df["doc_id"].eqNullSafe(F.col("id2")) & (df["sig"] == F.col("sig2"))
+            kept = df.join(F.broadcast(others), same, "left_anti")
+        else:
+            kept = df.join(classes.withColumnRenamed("sig", "sig2"), (F.col("sig") == F.col("sig2")) & (F.col("doc_id") == F.col("node"))).drop("sig2", "node")
+        kept = kept if again else kept.dropDuplicates(["sig"])
+        return kept.select(F.col("doc_id").alias("node"), "least", "band", "prefix")
+
+    return keep
+
+
 def link_documents(
     spark: SparkSession,
     docs: DataFrame,
@@ -238,7 +265,8 @@ def link_documents(
     group_members: int = 400,
     frequent_tokens: int = 500_000,
     frequent_in_task: int = 2,
-    common_groups: int = 256,
+    common_groups: int = 8,
+    send_rows: int = 500_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -252,12 +280,13 @@ def link_documents(
     group_members: a group is split at about so many.  frequent_tokens bounds
     the frequency list that is sent to tasks.  frequent_in_task, common_groups:
     from how many documents of a task, or groups of the corpus, a shingle counts
-    as frequent.  These change the work, never the result.
+    as frequent.  send_rows: tables of ids are broadcast up to so many rows, and
+    joined by a shuffle beyond.  These change the work, never the result.
 
     Null, empty and blank texts have no shingles, link with nothing and are
     components of their own.  Rows with equal ids are one document: what either
-    links with, both do.  Rows with null ids get a result with null component
-    unless they link with others.  An empty table gives no rows.  Other columns
+    links with, both do.  Rows with null ids link with equal sets only; others
+    of them have a null component.  An empty table gives no rows.  Other columns
     are not read.
     """
     space = Workspace(spark, "jaccard")
@@ -266,51 +295,63 @@ def link_documents(
     digests = first.filter(F.col("n").isNotNull()).select("doc_id", "n", "sig")
     classes = space.save(digests.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("node")), "classes")
 
-    # prefixes of one document of each class; again if shingles turn out frequent that no task could know
+    # prefixes of one document of each class; once more if shingles turn out frequent that no task could know
+    reps = _representatives(rows, digests, classes, send_rows)
     counts = first.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("count"))
     tokens, often = _frequent(counts, frequent_tokens)
-    for turn in range(3):
+    for turn in range(2):
         order = spark.sparkContext.broadcast((tokens, often))
-        own = _prefixes(rows, size, num, den, order).join(classes.select(F.col("sig").alias("sig2"), "node"), (F.col("sig") == F.col("sig2")) & (F.col("doc_id") == F.col("node")))
-        held = space.save(own.dropDuplicates(["sig"]).select("node", "least", "band", "prefix"), f"prefixes{turn}")
+        held = space.save(reps(_prefixes(rows, size, num, den, order)), f"prefixes{turn}")
         crowd = held.groupBy("least", "band").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > group_members)
         share = F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / group_members))
-        placed = held.join(crowd, ["least", "band"], "left").select("node", F.xxhash64("least", "band", F.coalesce(share, F.lit(0).cast("long"))).alias("gid"), "band", "prefix")
-        groups = space.save(placed, f"groups{turn}")
-        meet = groups.select("gid", "band", F.explode("prefix").alias("token")).repartition(max(shuffle_partitions(spark), 1), "token").distinct()
-        spread = meet.groupBy("token").agg(F.count("*").alias("count")).filter(F.col("count") >= common_groups)
-        more, times = _frequent(spread, frequent_tokens)
+        groups = held.join(sent(crowd, send_rows), ["least", "band"], "left").select(
+            "node", F.xxhash64("least", "band", F.coalesce(share, F.lit(0).cast("long"))).alias("gid"), "band", "prefix"
+        )
+        each = groups.select(F.explode("prefix").alias("token"), "gid", "band").repartition(shuffle_partitions(spark), "token").distinct()
+        shared = each.withColumn("spread", F.count("*").over(Window.partitionBy("token"))).filter("spread > 1")
+        meet = space.save(shared, f"meet{turn}")
+        more, times = _frequent(meet.filter(F.col("spread") >= common_groups).groupBy("token").agg(F.max("spread").alias("count")), frequent_tokens)
         new = ~np.isin(more, tokens)
-        if turn == 2 or not new.any():
+        if turn or not new.any():
             break
         keep = np.argsort(-np.concatenate([often, times[new]]), kind="stable")[:frequent_tokens]
         tokens, often = np.concatenate([tokens, more[new]])[keep], np.concatenate([often, times[new]])[keep]
         space.drop(f"prefixes{turn}")
-        space.drop(f"groups{turn}")
+        space.drop(f"meet{turn}")
 
     # groups that may hold partners of one another
     a, b = meet.select("token", F.col("gid").alias("ga"), "band"), meet.select(F.col("token").alias("token2"), F.col("gid").alias("gb"), F.col("band").alias("band2"))
     near = F.abs(F.col("band") - F.col("band2")) <= 1 if num < den else F.col("band") == F.col("band2")
     pairs = space.save(a.join(b, (F.col("token") == F.col("token2")) & (F.col("ga") < F.col("gb")) & near).select("ga", "gb").distinct(), "pairs")
+    sizes = space.save(groups.groupBy("gid").agg(F.count("*").alias("members"), F.min("node").alias("one")), "sizes")
+    of = lambda g, n, one: sizes.select(F.col("gid").alias(g), F.col("members").alias(n), F.col("one").alias(one))
+    sized = space.save(pairs.join(of("ga", "na", "one_a"), "ga").join(of("gb", "nb", "one_b"), "gb"), "sized")
+
+    # first within groups, and the smaller of two groups against the larger
     members = groups.select("gid", "node")
-    larger = members.groupBy("gid").agg(F.count("*").alias("rows")).filter("rows > 1").select("gid")
-    opened = larger.union(pairs.select("gb")).distinct().select(F.col("gid").alias("target"))
-    inside = members.join(opened, F.col("gid") == F.col("target")).select("target", F.lit(0).alias("role"), "node")
-    asked = members.join(pairs, F.col("gid") == F.col("ga")).select(F.col("gb").alias("target"), F.lit(1).alias("role"), "node")
-    work = space.save(inside.union(asked), "work")
-
-    # the sets of the documents that have work
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [s.tobytes() for s in shingle_sets(batch.column(1), size)]
-            yield pa.record_batch([batch.column(0), pa.array(made, pa.binary())], names=["id", "tokens"])
-
-    needed = work.select(F.col("node").alias("doc_id")).distinct()
-    filled = rows.join(needed, "doc_id", "left_semi").mapInArrow(sets, "id long, tokens binary").dropDuplicates(["id", "tokens"]).filter(F.octet_length("tokens") > 0)
-    n = shuffle_partitions(spark)
-    dealt = work.join(filled, F.col("node") == F.col("id")).select("target", "role", "node", "tokens").repartition(n, "target").sortWithinPartitions("target", "role", "node")
-    links = space.save(_links(dealt, num, den), "links")
-    roots = components(links, space)
+    larger = sizes.filter("members > 1").select(F.col("gid").alias("target"))
+    inside = members.join(larger, F.col("gid") == F.col("target")).select("target", F.lit(0).alias("role"), "node")
+    first_a = F.col("na") >= F.col("nb")
+    sides = sized.filter((F.col("na") > 1) | (F.col("nb") > 1)).select(F.when(first_a, F.col("ga")).otherwise(F.col("gb")).alias("target"), F.when(first_a, F.col("gb")).otherwise(F.col("ga")).alias("asking"))
+    asked = members.join(sides, F.col("gid") == F.col("asking")).select("target", F.lit(1).alias("role"), "node")
+    work = space.save(inside.union(asked), "work0")
+
+    def compare(work: DataFrame, name: str) -> DataFrame:
+        # texts shuffle for less than their sets do
+        dealt = rows.join(sent(work, send_rows), F.col("doc_id") == F.col("node")).select("target", "role", "node", "text")
+        dealt = dealt.repartition(shuffle_partitions(spark), "target").sortWithinPartitions("target", "role", "node")
+        return space.save(_links(dealt, size, num, den), name)
+
+    known = space.save(components(compare(work, "links0"), space, "a"), "roots0")
+
+    # then documents alone in their groups, where they aren't connected yet
+    root = lambda c: known.select(F.col("node").alias(f"of_{c}"), F.col("root").alias(f"root_{c}"))
+    alone = sized.filter("na = 1 and nb = 1").join(root("a"), F.col("one_a") == F.col("of_a"), "left").join(root("b"), F.col("one_b") == F.col("of_b"), "left")
+    apart = alone.filter(F.coalesce("root_a", "one_a") != F.coalesce("root_b", "one_b"))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("role"), F.col("one_a").alias("node")), F.struct(F.lit(1).alias("role"), F.col("one_b").alias("node"))))
+    work = space.save(apart.select(F.col("ga").alias("target"), both.alias("x")).select("target", "x.role", "x.node").distinct(), "work1")
+    edges = known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(compare(work, "links1"))
+    roots = components(edges, space, "b")
 
     named = digests.join(classes, "sig", "left").join(roots.withColumnRenamed("node", "node2"), F.col("node") == F.col("node2"), "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .subwords import encoder
+from .workers import release
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema(
@@ -170,7 +171,7 @@ def pack_documents(
     *,
     capacity: int = 4096,
     end_id: int | None = 2,
-    pool_tokens: int = 4_000_000,
+    pool_tokens: int = 2_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -214,6 +215,8 @@ def pack_documents(
                     held = 0
         if pool:
             yield from flush()
+        encoder(tokenizer_path).forget()
+        release()
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),

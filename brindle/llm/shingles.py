@@ -17,7 +17,7 @@ _BLANK[[32, *range(9, 14)]] = True
 _PLACE = _random.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,8 +17,8 @@ import struct
 
 import numpy as np
 
-#: Entries kept before the cache starts afresh (about 150 MB).
-CACHE_WORDS = 600_000
+#: Entries kept before the cache starts afresh (about 120 MB).
+CACHE_WORDS = 500_000
 #: Longer words are encoded each time and not kept.
 CACHE_WORD_CHARS = 64
 #: Letters that NFC leaves alone, then a run of signs; one pre-token each.
@@ -60,28 +60,38 @@ class WordIds(dict):
     """Ids of words as bytes; a word that isn't there is encoded when it is asked for."""
 
     def __init__(self, tokenizer, direct: bool):
-        super().__init__({"": b""})
+        super().__init__()
         self.tokenizer, self.model, self.direct = tokenizer, tokenizer.model, direct
-        self.letters = byte_letters()
+        self.letters, self.signs = byte_letters(), {}
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > CACHE_WORD_CHARS:
             return self.by_library(word)
         if len(self) >= CACHE_WORDS:
             self.clear()
-            self[""] = b""
-        simple = self.direct and SIMPLE_WORD.fullmatch(word)
-        ids = self[word] = self.by_model(*simple.groups()) if simple else self.by_library(word)
+        ids = self[word] = self.fresh(word)
         return ids
 
+    def fresh(self, word: str) -> bytes:
+        """Ids of a word, encoded now and not kept."""
+        simple = self.direct and len(word) <= CACHE_WORD_CHARS and SIMPLE_WORD.fullmatch(word)
+        return self.by_model(*simple.groups()) if simple else self.by_library(word)
+
     def by_library(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def by_model(self, letters: str, signs: str) -> bytes:
         """Ids of a word that SIMPLE_WORD matches, straight from the model."""
         if letters and signs:
-            return self[letters.lower()] + self[signs]
+            tail = self.signs.get(signs)
+            if tail is None:
+                tail = self.by_model("", signs)
+                if len(self.signs) < 10_000:
+                    self.signs[signs] = tail
+            return (self.get(letters.lower()) or self.by_model(letters, "")) + tail
         piece = letters.lower() or signs
+        if not piece:
+            return b""
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.model.tokenize(piece)]
@@ -106,8 +116,6 @@ class SubwordEncoder:
         self.words = WordIds(self.tokenizer, False)
         probes = [w for w in PROBES if SIMPLE_WORD.fullmatch(w)]
         self.words.direct = self.lowers and all(self.words.by_model(*SIMPLE_WORD.fullmatch(w).groups()) == self.words.by_library(w) for w in probes)
-        self.words.clear()
-        self.words[""] = b""
 
     def split(self, text: str) -> list[str]:
         """Words that can be encoded one by one, lower-case where that can't matter."""
@@ -119,6 +127,10 @@ class SubwordEncoder:
                 pass
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
+    def forget(self) -> None:
+        """Give the cache's memory back."""
+        self.words.clear()
+
     def encode(self, text: str | None) -> bytes:
         """Ids of one whole text (null: none)."""
         if not text:

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _own: dict[str, str] = {}
 
@@ -49,5 +49,10 @@ class Workspace:
         path.getFileSystem(conf).delete(path, True)
 
 
+def sent(df: DataFrame, most: int) -> DataFrame:
+    """``df`` to be broadcast if it has ``most`` rows at most, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

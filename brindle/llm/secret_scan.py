@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, sent
 
 # The patterns, the least length of what they must hold, and their order.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -137,14 +137,18 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, scanned: DataFrame, *, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, scanned: DataFrame, *, mark: str = "[SECRET]", send_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the live places of :func:`scan` replaced by ``mark``; examples stay.
 
+    The places meet their texts by a broadcast up to ``send_rows`` texts with
+    such places, and beyond by a shuffle.
+
     Overlapping places are replaced together.  Texts without live places, null
     ones too, stay as they are.
     """
     live = scanned.select("doc_id", "text_hash", F.filter("spans", lambda s: s["verdict"] == "live").alias("__live")).filter(F.size("__live") > 0)
     live = live.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("__live").alias("__live"))
+    live = sent(Workspace(docs.sparkSession, "redact").save(live, "live"), send_rows)
     both = docs.join(live, (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
     text = docs[text_col]
     step = lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(

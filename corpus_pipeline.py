@@ -10,13 +10,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brindle.llm import jaccard_join, langid, mixing, packing, secret_scan
-from brindle.llm.workspace import Workspace
+from brindle.llm.workspace import Workspace, sent
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; the dictionaries learn from the labels of these documents."""
-    found = langid.classify(docs, langid.fit_dictionaries(docs), keep=docs.columns)
-    return found.filter(~F.col("rejected")).select(*docs.columns)
+    found = langid.classify(docs, langid.fit_dictionaries(docs), keep=docs.columns, names=("__lang", "__score", "__rejected"))
+    return found.filter(~F.col("__rejected")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with one id are one document, of which one row stays.  Rows with null ids stay.
     """
     linked = jaccard_join.link_documents(spark, docs, size=5, num=80, den=100)
-    gone = linked.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("__null", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return left.dropDuplicates(["doc_id", "__null"]).select(*docs.columns)
+    gone = Workspace(spark, "gone").save(linked.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "ids")
+    left = docs.join(sent(gone, 500_000), "doc_id", "left_anti").select(*docs.columns)
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    if ids.filter("rows > 1").isEmpty():
+        return left
+    return left.withColumn("__null", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", "__null"]).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +41,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; those of smaller sources again, twice at most."""
-    return mixing.mix(docs, max_repeats=2.0, keep=docs.columns).select(*docs.columns)
+    return mixing.mix(docs, max_repeats=2.0, keep=docs.columns, names=("__epoch", "__block", "__position")).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

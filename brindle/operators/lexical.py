@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import BM25_B, BM25_EPSILON, BM25_K1
 from ..functions.text import TOKEN, tokens
@@ -55,19 +55,33 @@ def text_frequency(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def term_stats(frequency: DataFrame, corpus: DataFrame) -> DataFrame:
+def _raw_idf(n_docs: int) -> Column:
+    return F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def mean_idf(frequency: DataFrame, n_docs: int) -> float:
+    """The mean over the whole vocabulary, negative ones included."""
+    return frequency.agg(F.avg(_raw_idf(n_docs))).first()[0]
+
+
+def term_stats(frequency: DataFrame, n_docs: int, mean: float) -> DataFrame:
     """term, df, idf.  Terms of more than half the texts get a share of the mean idf instead of a negative one."""
-    n = F.broadcast(corpus.select("n_docs"))  # one row
-    raw = frequency.crossJoin(n).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))  # one row
-    return raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, F.lit(BM25_EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    raw = _raw_idf(n_docs)
+    return frequency.select("term", "df", F.when(raw < 0, F.lit(BM25_EPSILON) * F.lit(mean).cast("double")).otherwise(raw).alias("idf"))
 
 
 def build(df: DataFrame, id_col: str, text_col: str, queries: dict[object, str] | None = None) -> LexicalIndex:
-    """The index of texts, not stored; with ``queries``, postings of their terms only."""
+    """The index of texts, not stored; with ``queries``, postings and statistics of their terms only.
+
+    The corpus' size and the mean idf are worked out now, in a pass each.
+    """
     terms = None if queries is None else sorted({t for q in queries.values() for t in re.findall(TOKEN, q.lower())})
     corpus = corpus_stats(df, text_col)
-    return LexicalIndex(postings(df, id_col, text_col, terms), term_stats(text_frequency(df, text_col), corpus), corpus)
+    stats = corpus.first()
+    index, frequency = postings(df, id_col, text_col, terms), text_frequency(df, text_col)
+    own = frequency if terms is None else document_frequency(index)
+    known = term_stats(own, stats["n_docs"], mean_idf(frequency, stats["n_docs"]))
+    return LexicalIndex(index, known, df.sparkSession.createDataFrame([tuple(stats)], corpus.schema))
 
 
 def query_table(spark: SparkSession, queries: dict[object, str]) -> DataFrame:

@@ -32,7 +32,7 @@ from .workers import release
 from .workspace import Workspace, sent, shuffle_partitions
 
 #: Shingles that a task gathers before it counts the frequent ones.
-COUNT_SHINGLES = 2_000_000
+COUNT_SHINGLES = 1_000_000
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -136,6 +136,7 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, order) -> DataFram
                 i, sig, least, band, prefix = zip(*rows, strict=True)
                 flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32), np.concatenate(prefix))
                 yield pa.record_batch([pa.array(i, pa.int64()), pa.array(sig, pa.binary()), pa.array(np.array(least)), pa.array(band, pa.int64()), flat], names=["doc_id", "sig", "least", "band", "prefix"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, sig binary, least long, band long, prefix array<long>")
 
@@ -222,6 +223,8 @@ def _links(work: DataFrame, size: int, num: int, den: int) -> DataFrame:
         if out:
             a, b = zip(*out, strict=True)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        group = None
+        release()
 
     return work.mapInArrow(run, "a long, b long")
 

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .workers import release
+
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -147,14 +149,16 @@ def classify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 made = [classify_text(t, known.value, levels=levels, close=close, min_margin=min_margin, block_bytes=block_bytes) for t in part.column(0).to_pylist()]
                 langs, scores, rejected = zip(*made, strict=True)
                 yield pa.record_batch(
                     [*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
                     names=[*part.schema.names[1:], *names],
                 )
+        _compressors.cache_clear()
+        release()
 
     if keep is None:
         rows = docs.select(F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("doc_id"))

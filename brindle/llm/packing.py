@@ -172,6 +172,7 @@ def pack_documents(
     capacity: int = 4096,
     end_id: int | None = 2,
     pool_tokens: int = 2_000_000,
+    cache_words: int = 200_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -182,8 +183,9 @@ def pack_documents(
     sequence, without gaps from 0).  Every id of every document lies in exactly
     one piece.  A sequence holds ``capacity`` ids or a power of two of them.
 
-    pool_tokens bounds a task's memory: it packs so many tokens at a time (a
-    longer document is a pool of its own).  sequence_id counts from the
+    pool_tokens and cache_words bound a task's memory: it packs so many tokens at
+    a time (a longer document is a pool of its own) and keeps so many encoded
+    words.  sequence_id counts from the
     partition's number times 2^33.
 
     Null or empty text: the end id alone (without an end id: no piece).  Null
@@ -192,7 +194,8 @@ def pack_documents(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        coder = encoder(tokenizer_path)
+        coder.words.limit, encode = cache_words, coder.encode
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         pool, held, sequence = [], 0, None
 
@@ -204,18 +207,17 @@ def pack_documents(
                 columns = zip(*pieces[at : at + 2000], strict=True)
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, ARROW.types, strict=True)], schema=ARROW)
 
-        for batch in batches:
-            for doc_id, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sequence = part << 33 if sequence is None else sequence
-                ids = encode(text) + end
-                pool.append((doc_id, ids))
-                held += len(ids) // 4
-                if held >= pool_tokens:
-                    yield from flush()
-                    held = 0
+        for doc_id, text, part in (row for b in batches for at in range(0, b.num_rows, 500) for row in zip(*(c.to_pylist() for c in b.slice(at, 500).columns), strict=True)):
+            sequence = part << 33 if sequence is None else sequence
+            ids = encode(text) + end
+            pool.append((doc_id, ids))
+            held += len(ids) // 4
+            if held >= pool_tokens:
+                yield from flush()
+                held = 0
         if pool:
             yield from flush()
-        encoder(tokenizer_path).forget()
+        coder.forget()
         release()
 
     rows = docs.select(

@@ -17,7 +17,7 @@ import struct
 
 import numpy as np
 
-#: Entries kept before the cache starts afresh (about 120 MB).
+#: Entries kept before the cache starts afresh (about 120 MB), unless the encoder's limit says otherwise.
 CACHE_WORDS = 500_000
 #: Longer words are encoded each time and not kept.
 CACHE_WORD_CHARS = 64
@@ -61,13 +61,14 @@ class WordIds(dict):
 
     def __init__(self, tokenizer, direct: bool):
         super().__init__()
+        self.limit = CACHE_WORDS
         self.tokenizer, self.model, self.direct = tokenizer, tokenizer.model, direct
         self.letters, self.signs = byte_letters(), {}
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > CACHE_WORD_CHARS:
             return self.by_library(word)
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.limit:
             self.clear()
         ids = self[word] = self.fresh(word)
         return ids

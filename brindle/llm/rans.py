@@ -149,19 +149,33 @@ def crc_join(first: int, second: int, length: int) -> int:
 
 
 def _ids_table(docs: DataFrame, path: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, ids (unsigned 16-bit where the vocabulary allows, else 32-bit; little-endian)."""
+    """doc_id, n, ids (unsigned 16-bit where the vocabulary allows, else 32-bit; little-endian), width.
+
+    The last row of a task has n = -1 and holds what it has counted: ids, then
+    how often each stands, both 64-bit.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        kind = "<u2" if coder.vocab_size <= 1 << 16 else "<u4"
+        width = 2 if coder.vocab_size <= 1 << 16 else 4
+        kind, names = f"<u{width}", ["doc_id", "n", "ids", "width"]
+        total = np.zeros(coder.vocab_size, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 ids = [coder.encode(t) + end for t in part.column(1).to_pylist()]
-                narrow = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
-                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(narrow, pa.binary()), pa.array([int(kind[-1])] * len(ids), pa.int32())]
-                yield pa.record_batch(columns, names=["doc_id", "n", "ids", "width"])
+                cuts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(kind)
+                own = np.bincount(flat, minlength=len(total))
+                own[: len(total)] += total
+                total = own
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer((cuts * width).astype(np.int64)), pa.py_buffer(flat.view(np.uint8))])
+                columns = [part.column(0), pa.array(np.diff(cuts)), raw.cast(pa.binary()), pa.array(np.full(len(ids), width, np.int32))]
+                yield pa.record_batch(columns, names=names)
+        seen = np.flatnonzero(total)
+        counted = np.concatenate([seen, total[seen]]).astype("<i8").tobytes()
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([counted], pa.binary()), pa.array([0], pa.int32())], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, ids binary, width int")
@@ -171,21 +185,16 @@ def _as_ids(raw: bytes, width: int) -> np.ndarray:
     return np.frombuffer(raw, f"<u{width}")
 
 
-def _counts(ids: DataFrame) -> np.ndarray:
+def _counts(table: DataFrame) -> np.ndarray:
     """Corpus-wide counts by id.  The driver gets a row for each id of the vocabulary at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.bincount(_as_ids(raw, width))
-                if len(part) > len(total):
-                    total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
-                total[: len(part)] += part
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "count"])
+            for raw in batch.column(0).to_pylist():
+                ids, counts = np.frombuffer(raw, "<i8").reshape(2, -1)
+                yield pa.record_batch([pa.array(ids), pa.array(counts)], names=["id", "count"])
 
-    rows = ids.select("ids", "width").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).collect()
+    rows = table.filter("n < 0").select("ids").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).collect()
     counts = np.zeros(max([r["id"] for r in rows], default=-1) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["count"]
@@ -216,12 +225,12 @@ def write_ids(
     Other columns are not read.
     """
     space = Workspace(spark, "rans")
-    ids = space.save(_ids_table(docs, tokenizer_path, end_id, id_col, text_col), "ids")
-    counts = _counts(ids)
+    table = space.save(_ids_table(docs, tokenizer_path, end_id, id_col, text_col), "ids")
+    ids, counts = table.filter("n >= 0"), _counts(table)
     bits = max(table_bits, int(np.ceil(np.log2(max(2, np.count_nonzero(counts))))) + 1)
     freq = normalised(counts, bits)
     space.save(spark.createDataFrame([(int(i), int(freq[i]), bits) for i in np.flatnonzero(freq)], "id long, frequency long, bits int").coalesce(1), "frequencies")
-    table = spark.sparkContext.broadcast((freq, bits))  # a number for each id of the vocabulary
+    sent = spark.sparkContext.broadcast((freq, bits))  # a number for each id of the vocabulary
     shards = min(max_shards, max(shuffle_partitions(spark), -(-int(counts.sum()) // shard_ids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +256,7 @@ def write_ids(
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal coder
-            coder = coder or Coder(*table.value)
+            coder = coder or Coder(*sent.value)
             rows = []
             for (no, at, block, mine), (words, states, marks) in zip(ready, coder.encode([r[2] for r in ready]), strict=True):
                 rows.append((shard, no, at, len(block), words, states, marks, zlib.crc32(block.astype("<u4").tobytes()), *([list(c) for c in zip(*mine, strict=True)] or [[]] * 5)))

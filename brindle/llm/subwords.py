@@ -74,7 +74,7 @@ class WordIds(dict):
         return ids
 
     def fresh(self, word: str) -> bytes:
-        """Ids of a word, encoded now and not kept."""
+        """Ids of a word, encoded now; kept by the caller, if at all."""
         simple = self.direct and len(word) <= CACHE_WORD_CHARS and SIMPLE_WORD.fullmatch(word)
         return self.by_model(*simple.groups()) if simple else self.by_library(word)
 
@@ -89,7 +89,13 @@ class WordIds(dict):
                 tail = self.by_model("", signs)
                 if len(self.signs) < 10_000:
                     self.signs[signs] = tail
-            return (self.get(letters.lower()) or self.by_model(letters, "")) + tail
+            stem = letters.lower()
+            ids = self.get(stem)
+            if ids is None:
+                ids = self.by_model(stem, "")
+                if len(self) < self.limit:  # it is likely to come alone, or with other signs
+                    self[stem] = ids
+            return ids + tail
         piece = letters.lower() or signs
         if not piece:
             return b""

@@ -21,8 +21,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
-#: measure -> (least spread, low side too).  A fence is ``reach`` spreads beyond the quartiles.
-RULES = {"symbol_share": (0.05, False), "dup_line_share": (0.2, False), "repeat_share": (0.1, False), "mean_word": (1.0, True)}
+#: measure -> (quantile that the spread starts from, quantile it reaches, low side too).  A fence is ``reach``
+#: spreads beyond.  The shares are mostly 0, so that only their upper tail says how they spread.
+RULES = {"symbol_share": (0.5, 0.97, False), "dup_line_share": (0.5, 0.97, False), "repeat_share": (0.5, 0.97, False), "mean_word": (0.25, 0.75, True)}
+#: The least that a text can have of these, which is beyond no fence: a symbol, a line again, a window of three words again.
+LEAST = {"symbol_share": ("n_symbols", 1), "dup_line_share": ("n_dup_lines", 1), "repeat_share": ("n_repeat_words", 6)}
+#: Rows of the whole corpus's spread that join a group's own.
+PRIOR_ROWS = 100
 
 
 def words_of(text: Column) -> Column:
@@ -76,17 +81,61 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fences(measured: DataFrame, groups: list[str], *, reach: float = 3.0, k: int = 200) -> DataFrame:
-    """For each group: ``rows``, and for each rule ``<rule>_hi`` (and ``_lo``), from KLL sketches."""
-    sketches = measured.groupBy(*groups).agg(F.count("*").alias("rows"), *[F.kll_sketch_agg_double(F.col(r), F.lit(k)).alias(r) for r in RULES])
+def _limits(measured: DataFrame, groups: list[str], rules: list[str], *, reach: float, k: int) -> DataFrame:
+    """``groups``, and for each rule ``<rule>_hi`` (and ``_lo``): null where the whole corpus has no spread."""
+    sketches = measured.groupBy(*groups).agg(F.count("*").alias("__rows"), *[F.kll_sketch_agg_double(F.col(r), F.lit(k)).alias(r) for r in rules])
+    at = lambda r, q: F.kll_sketch_get_quantile_double(F.col(r), F.lit(q))
+    own = sketches.select(*groups, "__rows", *[at(r, q).alias(f"{r}_{i}") for r in rules for i, q in enumerate(RULES[r][:2])])
+    spread = lambda r: F.col(f"{r}_1") - F.col(f"{r}_0")
+    usual = own.agg(*[(F.sum(F.col("__rows") * spread(r)) / F.sum("__rows")).alias(f"__{r}") for r in rules])
     columns = []
-    for rule, (least, low) in RULES.items():
-        q1, q3 = (F.kll_sketch_get_quantile_double(F.col(rule), F.lit(q)) for q in (0.25, 0.75))
-        spread = F.greatest(q3 - q1, F.lit(least))
-        columns.append((q3 + reach * spread).alias(f"{rule}_hi"))
+    for r in rules:
+        shared = F.col(f"__{r}")
+        wide = F.greatest((F.col("__rows") * spread(r) + PRIOR_ROWS * shared) / (F.col("__rows") + PRIOR_ROWS), shared / 2)
+        wide = F.when(wide > 0, wide)
+        low = RULES[r][2]
+        columns.append((F.col(f"{r}_1" if low else f"{r}_0") + reach * wide).alias(f"{r}_hi"))
         if low:
-            columns.append((q1 - reach * spread).alias(f"{rule}_lo"))
-    return sketches.select(*groups, "rows", *columns)
+            columns.append((F.col(f"{r}_0") - reach * wide).alias(f"{r}_lo"))
+    return own.crossJoin(F.broadcast(usual)).select(*groups, *columns)
+
+
+def _beside(rows: DataFrame, limits: DataFrame, groups: list[str]) -> DataFrame:
+    """``rows`` with the limits of their group, which may be null."""
+    named = limits.select(*[F.col(g).alias(f"{g}2") for g in groups], *[c for c in limits.columns if c not in groups])
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}2"))
+    return rows.join(named, same, "left").drop(*[f"{g}2" for g in groups])
+
+
+def _inside(rules: list[str]) -> Column:
+    inside = F.lit(True)
+    for r in rules:
+        below = F.coalesce(F.col(r) <= F.col(f"{r}_hi"), F.lit(True))
+        if r in LEAST:
+            below = below | (F.col(LEAST[r][0]) <= LEAST[r][1])
+        inside = inside & below
+        if RULES[r][2]:
+            inside = inside & F.coalesce(F.col(r) >= F.col(f"{r}_lo"), F.lit(True))
+    return inside
+
+
+def fences(measured: DataFrame, groups: list[str], space: Workspace, *, reach: float = 3.0, k: int = 800) -> DataFrame:
+    """For each group and rule ``<rule>_hi`` (and ``_lo``), from KLL sketches.
+
+    The word length's fences lie beyond the quartiles of the group.  The shares'
+    come from the tails of the documents within these, since junk that stands
+    out by its words would set the tails itself.  A group's spread is averaged
+    with the mean spread of all groups as if that were ``PRIOR_ROWS`` rows, and
+    is half of it at least, so that neither few rows nor many copies decide
+    alone.  A measure without spread in any group has no fences.
+    """
+    both_sides = [r for r in RULES if RULES[r][2]]
+    tails = [r for r in RULES if not RULES[r][2]]
+    first = space.save(_limits(measured, groups, both_sides, reach=reach, k=k), "fences")
+    usual = _beside(measured, first, groups).filter(_inside(both_sides))
+    return _beside(first, space.save(_limits(usual, groups, tails, reach=reach, k=k), "tails"), groups)
 
 
 def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None, reach: float = 3.0) -> DataFrame:
@@ -95,7 +144,8 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     Returns ``keep`` (all columns), the measures, base_failed and kept.  A
     document is kept if the fixed rules pass and no measure lies beyond the
     fences of its language and source.  Fences come from the documents that the
-    fixed rules pass.  A group without such documents has no fences.
+    fixed rules pass.  A group without such documents has no fences.  The least
+    that a text can have of a share (``LEAST``) is beyond none.
 
     Null languages and sources are groups of their own.  Null and empty texts
     fail the fixed rules.  Repeated rows are judged each; an empty table gives
@@ -118,15 +168,8 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
         share("word_chars", "n_words").alias("mean_word"),
     )
     rows = space.save(measured, "measured")
-    limits = fences(rows.filter(~F.col("base_failed")), ["__lang", "__source"], reach=reach).select(
-        F.col("__lang").alias("__lang2"), F.col("__source").alias("__source2"), *[c for r, (_, low) in RULES.items() for c in ([f"{r}_hi", f"{r}_lo"] if low else [f"{r}_hi"])]
-    )
-    both = rows.join(limits, F.col("__lang").eqNullSafe(F.col("__lang2")) & F.col("__source").eqNullSafe(F.col("__source2")), "left")
-    inside = F.lit(True)
-    for rule, (_, low) in RULES.items():
-        inside = inside & F.coalesce(F.col(rule) <= F.col(f"{rule}_hi"), F.lit(True))
-        if low:
-            inside = inside & F.coalesce(F.col(rule) >= F.col(f"{rule}_lo"), F.lit(True))
+    groups = ["__lang", "__source"]
+    both = _beside(rows, fences(rows.filter(~F.col("base_failed")), groups, space, reach=reach), groups)
     return both.select(
         *[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)],
         "n_words",
@@ -135,6 +178,6 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        (~F.col("base_failed") & inside).alias("kept"),
+        (~F.col("base_failed") & _inside(list(RULES))).alias("kept"),
         *RULES,
     )

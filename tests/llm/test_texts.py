@@ -222,3 +222,28 @@ def test_fences_follow_the_group(spark):
     kept = {r["doc_id"]: r["kept"] for r in quality.judge(table(spark, rows), keep=["doc_id"]).collect()}
     assert all(kept[100 + i] for i in range(40))  # usual in its source
     assert not kept[300]  # an outlier in the other
+
+
+def test_fences_come_from_the_sketches(spark):
+    rng = random.Random(21)
+    rows = []
+    for source, most in (("few", 0.02), ("many", 0.12)):
+        rows += [(source, most * rng.random() ** 2, 0.0, 0.05 * rng.random(), rng.gauss(5, 0.1 if source == "few" else 0.4)) for _ in range(400)]
+    rows += [("few", 0.11, 0.0, 0.0, 4.0)] * 15  # tables of symbols and short words
+    measured = spark.createDataFrame(rows, "source string, symbol_share double, dup_line_share double, repeat_share double, mean_word double")
+    limits = {r["source"]: r for r in quality.fences(measured, ["source"], quality.Workspace(spark, "test")).collect()}
+    few, many = limits["few"], limits["many"]
+    assert few["symbol_share_hi"] < 0.11 < 0.2 < many["symbol_share_hi"]
+    assert few["mean_word_lo"] > 4.05 and many["mean_word_lo"] < 4.0
+    assert few["dup_line_share_hi"] is None  # no spread anywhere
+
+
+def test_fences_differ_between_groups_of_the_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    space = quality.Workspace(spark, "test")
+    judged = space.save(quality.judge(docs, keep=["doc_id", "lang", "source"]), "judged").filter(~F.col("base_failed"))
+    limits = quality.fences(judged, ["lang", "source"], space).collect()
+    for rule in quality.RULES:
+        assert len({round(r[f"{rule}_hi"], 6) for r in limits}) > len(limits) / 2, rule
+    gone = judged.filter(~F.col("kept")).join(labels, "doc_id").agg(F.count("*").alias("n"), F.avg("quality").alias("good")).first()
+    assert gone["n"] > 200 and gone["good"] < 0.2

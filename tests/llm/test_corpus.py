@@ -90,6 +90,35 @@ def test_scores(spark, messy, messy_docs, empty_docs):
     assert len(nothing) == 2 and all((r["train_tokens"], r["n_known"]) == (0, 0) for r in nothing)
 
 
+def test_classes_and_windows_come_from_whole_texts(spark, monkeypatch):
+    fitted = {}
+
+    def classes(every, cells, times, n, **more):
+        fitted["every"], fitted["cells"] = every, dict(zip(cells.tolist(), times.tolist(), strict=True))
+        return plain_classes(every, cells, times, n, **more)
+
+    def fit(rows, **more):
+        fitted["windows"], fitted["steps"] = len(rows), more["steps"]
+        return plain_fit(rows[:64], steps=2)
+
+    plain_classes, plain_fit = lm.neighbour_classes, lm.fit
+    monkeypatch.setattr(lm, "neighbour_classes", classes)
+    monkeypatch.setattr(lm, "fit", fit)
+    coder = lm.encoder(PATH)
+    ids = lambda t: np.frombuffer(coder.encode(t), "<u4").tolist()
+    late = "the cat " * 3000 + "zebra quagga"  # beyond the first 6000 characters
+    lm.score_documents(spark, table(spark, [(i, late if i == 2 else f"word{i} and the cat", "en", "s") for i in range(2000)]), PATH, steps=2)
+    learn = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert 2 in learn and fitted["every"][ids("quagga")[-1]] >= 1
+    counts = collections.Counter(x for i in learn for x in ids(late if i == 2 else f"word{i} and the cat"))
+    assert all(fitted["every"][x] == n for x, n in counts.items() if x != 49407)
+    column = lm.neighbour_columns(fitted["every"])
+    the, cat = ids("the")[0], ids("cat")[0]
+    assert fitted["cells"][the * 2 * lm.NEIGHBOURS + column[cat]] == len(learn) - 1 + 3000
+    assert fitted["windows"] > 1000  # nearly every text has a window of its own, the long one has few that differ
+    assert fitted["steps"] * 64 >= fitted["windows"]
+
+
 # ---- archives ------------------------------------------------------------------------------------
 
 

@@ -90,6 +90,11 @@ def test_scores(spark, messy, messy_docs, empty_docs):
     assert len(nothing) == 2 and all((r["train_tokens"], r["n_known"]) == (0, 0) for r in nothing)
 
 
+def test_model_width():
+    p, _ = lm.fit(np.zeros((1, lm.CONTEXT + 1), np.int64), steps=1)
+    assert p["embed"].shape == (lm.CLASSES + 1, 24)
+
+
 def test_classes_and_windows_come_from_whole_texts(spark, monkeypatch):
     fitted = {}
 

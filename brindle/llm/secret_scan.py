@@ -2,7 +2,7 @@
 
 Patterns find candidates and their places.  Every candidate's value is hashed,
 and the corpus says how many owners and repositories hold that hash: a value
-that many owners share is a copied example, one that a single owner holds and
+that many owners or many repositories share is a copied example, one that a single owner holds and
 that looks random is taken for live.  Values known as live also mark the
 places where they stand bare, without a keyword.
 
@@ -95,6 +95,7 @@ def scan(
     docs: DataFrame,
     *,
     example_owners: int = 3,
+    example_repos: int = 10,
     id_col: str = "doc_id",
     text_col: str = "text",
     owner_col: str = "source",
@@ -105,7 +106,8 @@ def scan(
     Returns a row for each row: doc_id, text_hash, and spans, an array of
     (start, kind, end, verdict) by start, then kind.  Places are code points,
     the end exclusive.  kind: 0 assign, 1 access, 2 hex (the base), 3 owned.
-    verdict: "example" if ``example_owners`` owners or more hold the value;
+    verdict: "example" if ``example_owners`` owners or more hold the value, or
+    ``example_repos`` repositories or more within fewer owners;
     else "live" if it looks random, else "weak".
 
     Owned places are added by the corpus: a bare value, overlapping no base
@@ -124,7 +126,7 @@ def scan(
     )
     seen = space.save(seen, "places")
     judged = seen.drop("keyed").join(ownership(seen), "hash")
-    verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("random"), "live").otherwise("weak")
+    verdict = F.when((F.col("owners") >= example_owners) | (F.col("repos") >= example_repos), "example").when(F.col("random"), "live").otherwise("weak")
     marked = judged.withColumn("verdict", verdict).filter((F.col("kind") < 3) | (F.col("keyed") & (F.col("verdict") == "live")))
     spans = marked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "verdict"))).alias("spans"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,verdict:string>>")

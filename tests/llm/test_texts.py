@@ -114,6 +114,15 @@ def test_secrets_ownership(spark):
     assert (10, f"token = {copied}") in texts and len(texts) == len(rows)
 
 
+def test_secrets_of_many_repositories(spark):
+    copied, own = "c0pied8Xv27QpLm48Zt", "k9Xv27QpLm48ZtRw"
+    rows = [(i, f"token = {copied}", "en", f"s{i % 2}") for i in range(30)] + [(40 + i, f"token = {own}", "en", "s0") for i in range(3)]
+    docs = table(spark, rows)
+    scanned = secret_scan.scan(docs)
+    assert {(r["doc_id"] < 40, s["verdict"]) for r in scanned.collect() for s in r["spans"]} == {(True, "example"), (False, "live")}
+    assert {r["doc_id"] for r in secret_scan.redact(docs, scanned).collect() if r["text"] == "[SECRET]"} == {40, 41, 42}
+
+
 def test_redaction_of_overlapping_places(spark):
     docs = table(spark, [(1, f"é token = {TOKEN} and {TOKEN}zq1 é", "en", "a"), (2, None, "en", "a")])
     out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, secret_scan.scan(docs)).collect()}

@@ -145,13 +145,13 @@ def redact(docs: DataFrame, scanned: DataFrame, *, mark: str = "[SECRET]", send_
     The places meet their texts by a broadcast up to ``send_rows`` texts with
     such places, and beyond by a shuffle.
 
-    Overlapping places are replaced together.  Texts without live places, null
+    Overlapping places are replaced together.  Null ids are ids too.  Texts without live places, null
     ones too, stay as they are.
     """
     live = scanned.select("doc_id", "text_hash", F.filter("spans", lambda s: s["verdict"] == "live").alias("__live")).filter(F.size("__live") > 0)
     live = live.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("__live").alias("__live"))
     live = sent(Workspace(docs.sparkSession, "redact").save(live, "live"), send_rows)
-    both = docs.join(live, (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
+    both = docs.join(live, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
     text = docs[text_col]
     step = lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
         F.struct(

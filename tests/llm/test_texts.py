@@ -123,6 +123,12 @@ def test_secrets_of_many_repositories(spark):
     assert {r["doc_id"] for r in secret_scan.redact(docs, scanned).collect() if r["text"] == "[SECRET]"} == {40, 41, 42}
 
 
+def test_redaction_of_null_ids(spark):
+    docs = table(spark, [(None, f"a token = {TOKEN}", "en", "a"), (None, "nothing", "en", "a"), (None, None, "en", "b")])
+    out = secret_scan.redact(docs, secret_scan.scan(docs)).collect()
+    assert sorted((r["text"] for r in out), key=str) == [None, "a [SECRET]", "nothing"]
+
+
 def test_redaction_of_overlapping_places(spark):
     docs = table(spark, [(1, f"é token = {TOKEN} and {TOKEN}zq1 é", "en", "a"), (2, None, "en", "a")])
     out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, secret_scan.scan(docs)).collect()}

@@ -21,7 +21,14 @@ from .workspace import Workspace, sent
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 characters or more
 HEX = r"[0-9a-f]{24,}"
-BARE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}"
+#: Runs that may be a value without a keyword, up to their last letter or digit: whole, between =, between = and /, behind the first =.
+BARE = (
+    r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{15,}[A-Za-z0-9]",
+    r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{15,}[A-Za-z0-9]",
+    r"(?<![A-Za-z0-9+_.-])[A-Za-z0-9+_.-]{15,}[A-Za-z0-9]",
+    r"(?<=[A-Za-z0-9+/_.-]=)[A-Za-z0-9+/_.=-]{15,}[A-Za-z0-9]",
+)
+TAIL = r"[+/_.=-]+$"
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN_CHARS = 6
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|your|test|xxxx|1234567|abcdef0"
@@ -38,8 +45,8 @@ def places(text: str, matches: str, parts: Column) -> Column:
     return F.when(F.size(matches) > 0, folded).otherwise(empty)
 
 
-def _find(df: DataFrame, kind: int, pattern: str) -> DataFrame:
-    """Adds the column ``c<kind>``: array of (start, kind, end, value); df has __text."""
+def _find(df: DataFrame, kind: int, pattern: str, name: str) -> DataFrame:
+    """Adds the column ``name``: array of (start, kind, end, value); df has __text."""
     held = [c for c in df.columns]
     hit = df.select(*held, F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)).alias("__m"))
     cut = hit.select(*held, "__m", F.when(F.size("__m") > 0, F.split("__text", pattern, -1)).alias("__parts"))
@@ -51,7 +58,7 @@ def _find(df: DataFrame, kind: int, pattern: str) -> DataFrame:
     found = F.transform("__m", span)
     if KINDS[kind] == "assign":
         found = F.filter(found, lambda s: F.length(s["value"]) >= ASSIGN_CHARS)
-    return placed.select(*held, found.alias(f"c{kind}"))
+    return placed.select(*held, found.alias(name))
 
 
 def looks_random(value: Column) -> Column:
@@ -65,6 +72,12 @@ def looks_random(value: Column) -> Column:
     )
 
 
+def core(value: Column) -> Column:
+    """The value up to its last letter or digit, by which it is known again; itself if it has none."""
+    short = F.regexp_replace(value, TAIL, "")
+    return F.when(short == "", value).otherwise(short)
+
+
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """doc_id, owner, repo, text_hash, base and bare: the places that the patterns find in every whole text."""
     df = docs.select(
@@ -73,10 +86,12 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         F.col(repo_col).cast("string").alias("repo"),
         F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
     )
-    for kind, pattern in enumerate((ASSIGN, ACCESS, HEX, BARE)):
-        df = _find(df, kind, pattern)
+    for kind, pattern in enumerate((ASSIGN, ACCESS, HEX)):
+        df = _find(df, kind, pattern, f"c{kind}")
+    for i, pattern in enumerate(BARE):
+        df = _find(df, KINDS.index("owned"), pattern, f"b{i}")
     base = F.array_sort(F.concat("c0", "c1", "c2"))
-    return df.select("doc_id", "owner", "repo", F.xxhash64("__text").alias("text_hash"), base.alias("base"), F.col("c3").alias("bare"))
+    return df.select("doc_id", "owner", "repo", F.xxhash64("__text").alias("text_hash"), base.alias("base"), F.array_distinct(F.concat(*[f"b{i}" for i in range(len(BARE))])).alias("bare"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -108,9 +123,12 @@ def scan(
     the end exclusive.  kind: 0 assign, 1 access, 2 hex (the base), 3 owned.
     verdict: "example" if ``example_owners`` owners or more hold the value, or
     ``example_repos`` repositories or more within fewer owners;
-    else "live" if it looks random, else "weak".
+    else "live" if it looks random, or stands somewhere with a keyword, has one
+    owner and is no placeholder, whatever its length; else "weak".  Signs behind
+    a value's last letter or digit don't count for who holds it.
 
-    Owned places are added by the corpus: a bare value, overlapping no base
+    Owned places are added by the corpus: a bare value of 16 characters or more
+    (a run, or a part of one between = and /, without such signs at its end), overlapping no base
     place, that stands somewhere with a keyword and is live.
 
     Null texts are empty, null owners and repositories one of their own each.
@@ -121,12 +139,23 @@ def scan(
     beside = lambda s, b: (s["start"] < b["end"]) & (b["start"] < s["end"])
     free = F.filter("bare", lambda s: ~F.exists("base", lambda b: beside(s, b)))
     every = rows.select("row", F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repo", F.lit("\0")).alias("repo"), F.explode(F.concat("base", free)).alias("s"))
+    value = core(F.col("s.value"))
     seen = every.select(
-        "row", "owner", "repo", "s.start", "s.kind", "s.end", F.sha2("s.value", 256).alias("hash"), (F.col("s.kind") < 2).alias("keyed"), looks_random(F.col("s.value")).alias("random")
+        "row",
+        "owner",
+        "repo",
+        "s.start",
+        "s.kind",
+        "s.end",
+        F.sha2(value, 256).alias("hash"),
+        (F.col("s.kind") < 2).alias("keyed"),
+        looks_random(value).alias("random"),
+        value.rlike(PLACEHOLDER).alias("placeholder"),
     )
     seen = space.save(seen, "places")
     judged = seen.drop("keyed").join(ownership(seen), "hash")
-    verdict = F.when((F.col("owners") >= example_owners) | (F.col("repos") >= example_repos), "example").when(F.col("random"), "live").otherwise("weak")
+    alone = F.col("keyed") & (F.col("owners") == 1) & ~F.col("placeholder")
+    verdict = F.when((F.col("owners") >= example_owners) | (F.col("repos") >= example_repos), "example").when(F.col("random") | alone, "live").otherwise("weak")
     marked = judged.withColumn("verdict", verdict).filter((F.col("kind") < 3) | (F.col("keyed") & (F.col("verdict") == "live")))
     spans = marked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "verdict"))).alias("spans"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,verdict:string>>")

@@ -129,6 +129,24 @@ def test_redaction_of_null_ids(spark):
     assert sorted((r["text"] for r in out), key=str) == [None, "a [SECRET]", "nothing"]
 
 
+def test_short_and_embedded_secrets(spark):
+    value, letters = "k9Xv27QpLm48ZtRw", "QwertzUiopAsdfGhjk"
+    texts = ["password: hunter.", f"token = {value}", f"ends with {value}.", f"auth={value}&", f"http://host/{value}/x", f"secret={letters}", f"so {letters} again", "password = changeme"]
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)] + [(20 + i, "password: shared", "en", f"s{i}") for i in range(2)])
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, secret_scan.scan(docs)).collect()}
+    assert [out[i] for i in range(len(texts))] == [
+        "[SECRET]",
+        "[SECRET]",
+        "ends with [SECRET].",
+        "auth=[SECRET]&",
+        "http://host/[SECRET]/x",
+        "[SECRET]",
+        "so [SECRET] again",
+        "password = changeme",
+    ]
+    assert out[20] == out[21] == "password: shared"
+
+
 def test_redaction_of_overlapping_places(spark):
     docs = table(spark, [(1, f"é token = {TOKEN} and {TOKEN}zq1 é", "en", "a"), (2, None, "en", "a")])
     out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, secret_scan.scan(docs)).collect()}

@@ -1,6 +1,8 @@
 """Threshold-scaled sketches of documents.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash space.
+A sketch keeps every shingle hash below a fixed fraction of the hash space, or
+all of them where a text has few; these are cut down to the fraction when they
+meet a larger text's.
 Sketches of parts merge by union, sizes follow the documents', and containment
 of a short document in a long one can be estimated.  DataFrame functions only.
 """
@@ -29,12 +31,22 @@ def below(hashes: Column, scale: int) -> Column:
     return F.array_sort(F.array_distinct(low))
 
 
-def with_sketch(df: DataFrame, text: Column, name: str, *, size: int = 5, scale: int = 8) -> DataFrame:
-    """``df`` with the sketch of ``text`` (array of long) as column ``name``.  Null texts have an empty one."""
-    held = [c for c in df.columns if c != name]
+def with_sketch(df: DataFrame, text: Column, name: str, *, size: int = 5, scale: int = 8, whole: int = 0, flag: str | None = None) -> DataFrame:
+    """``df`` with the sketch of ``text`` (array of long) as column ``name``.  Null texts have an empty one.
+
+    Up to ``whole`` different hashes are all kept; ``flag`` names a column that says whether they are.
+    """
+    held = [c for c in df.columns if c not in (name, flag)]
     split = df.select(*held, words_of(F.coalesce(text, F.lit(""))).alias("__words"))
-    hashed = split.select(*held, shingle_hashes("__words", size).alias("__hashes"))
-    return hashed.select(*held, below(F.col("__hashes"), scale).alias(name))
+    hashed = split.select(*held, F.array_distinct(shingle_hashes("__words", size)).alias("__hashes"))
+    few = F.size("__hashes") <= whole
+    kept = F.when(few, F.array_sort("__hashes")).otherwise(below(F.col("__hashes"), scale))
+    return hashed.select(*held, kept.alias(name), *([few.alias(flag)] if flag else []))
+
+
+def alike(a: Column, b: Column, whole_a: Column, whole_b: Column, scale: int) -> Column:
+    """:func:`containment` of two sketches at the density that both have."""
+    return F.when(whole_a == whole_b, containment(a, b)).otherwise(containment(below(a, scale), below(b, scale)))
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -89,7 +101,7 @@ def next_in_order(docs: DataFrame, key: str, carried: list[str], *, rows_per_buc
     )
 
 
-def fingerprints(docs: DataFrame, *, size: int = 5, scale: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, *, size: int = 5, scale: int = 2, whole: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sketches of every whole text and of its edited text, and their likeness.
 
     The edited text has its last third (in code points, rounded down) replaced
@@ -99,26 +111,27 @@ def fingerprints(docs: DataFrame, *, size: int = 5, scale: int = 8, id_col: str
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.  A fingerprint is the sketch's hashes in hexadecimal,
     ascending, joined by commas.  Likeness is the containment of the smaller
-    sketch; where both texts are equal it is 1, and else 0 if either sketch is empty.
+    sketch, both at 1/``scale`` if only one text has ``whole`` different shingles or
+    fewer, which are all kept; where both texts are equal it is 1, and else 0 if either sketch is empty.
 
     Null texts are empty ones.  Null ids come last in the order.  Repeated rows
     follow one another.  An empty table gives no rows.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = with_sketch(rows, F.col("text"), "sketch", size=size, scale=scale)
-    pairs = next_in_order(own, "doc_id", ["text", "sketch"])
+    own = with_sketch(rows, F.col("text"), "sketch", size=size, scale=scale, whole=whole, flag="whole")
+    pairs = next_in_order(own, "doc_id", ["text", "sketch", "whole"])
     third = F.floor(F.length("text") / 3).cast("int")
     cut = pairs.select("*", F.length("text").cast("long").alias("n_chars"), third.alias("__third"))
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - F.col("__third")), F.substr("next_text", F.lit(1), F.col("__third")))
-    made = cut.select("doc_id", "n_chars", "sketch", "next_sketch", (F.col("text") == F.col("next_text")).alias("__same"), edited.alias("__edited"), "text")
+    made = cut.select("doc_id", "n_chars", "sketch", "next_sketch", "whole", "next_whole", (F.col("text") == F.col("next_text")).alias("__same"), edited.alias("__edited"), "text")
     made = made.select("*", (F.col("text") == F.col("__edited")).alias("__unedited"), F.sha2("__edited", 256).alias("edited_sha256")).drop("text")
-    both = with_sketch(made, F.col("__edited"), "__sketch2", size=size, scale=scale)
+    both = with_sketch(made, F.col("__edited"), "__sketch2", size=size, scale=scale, whole=whole, flag="__whole2")
     return both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("__sketch2")).alias("edited_fingerprint"),
-        F.when(F.col("__unedited"), F.lit(1.0)).otherwise(containment(F.col("sketch"), F.col("__sketch2"))).alias("near_edited"),
-        F.when(F.col("__same"), F.lit(1.0)).otherwise(containment(F.col("sketch"), F.col("next_sketch"))).alias("near_next"),
+        F.when(F.col("__unedited"), F.lit(1.0)).otherwise(alike(F.col("sketch"), F.col("__sketch2"), F.col("whole"), F.col("__whole2"), scale)).alias("near_edited"),
+        F.when(F.col("__same"), F.lit(1.0)).otherwise(alike(F.col("sketch"), F.col("next_sketch"), F.col("whole"), F.col("next_whole"), scale)).alias("near_next"),
     )

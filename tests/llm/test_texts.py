@@ -184,6 +184,22 @@ def test_fingerprints(spark, messy, messy_docs, empty_docs):
     assert (alone["near_next"], alone["edited_sha256"]) == (1.0, hashlib.sha256(b"a b c d e fa b c ").hexdigest()[:64]) or alone["near_next"] == 1.0
 
 
+def test_fingerprints_of_short_texts(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, "en", n % 50 + 6) for n in range(100)] + [prose(rng, "en", 1500)]
+    docs = table(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r for r in sketch.fingerprints(docs).collect()}
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
+    for i, t in enumerate(texts[:100]):
+        edited = t[: len(t) - len(t) // 3] + texts[i - 1][: len(t) // 3]
+        a, b = shingles(t), shingles(edited)
+        assert len(got[i]["fingerprint"].split(",")) == len(a)
+        assert got[i]["near_edited"] == pytest.approx(len(a & b) / min(len(a), len(b)))
+    # a text beside one that holds it, of very unequal size
+    pair = sketch.fingerprints(table(spark, [(2, " ".join(texts[100].split()[:40]), None, None), (1, texts[100], None, None)])).collect()
+    assert all(r["near_next"] == 1.0 for r in pair)
+
+
 def test_sketch_threshold_and_merge(spark):
     rng = random.Random(3)
     texts = [prose(rng, "en", 300), prose(rng, "de", 40), "", None, "one two"]

@@ -30,98 +30,163 @@ def words(text):
 # ---- scores --------------------------------------------------------------------------------------
 
 
+def small_model(vocab=9, classes=3, dim=4, context=6, seed=0):
+    r = np.random.default_rng(seed)
+    out, bias, lean = lm.leaves(r.integers(0, 50, vocab), np.arange(vocab) % classes, classes)
+    p = lm.new_parameters(vocab, bias, lean, dim, context)
+    return {k: v + 0.3 * r.standard_normal(v.shape).astype(np.float32) for k, v in p.items()}, out
+
+
+def test_leaves_say_the_counts():
+    counts = np.array([5, 0, 100, 7, 1, 30, 2, 9, 4, 4, 0, 12])
+    out, bias, lean = lm.leaves(counts, np.array([0, 0, 0, 1, 1, 1, 1, 2, 2, 2, 2, 3]), 4)
+    p = lm.new_parameters(len(counts), bias, lean, 4, 6)
+    own = np.exp(lm.id_scores(p, out, np.zeros((12, 4), np.float32), np.arange(12)))
+    assert own.sum() == pytest.approx(1, abs=1e-5) and own == pytest.approx((counts + 0.01) / (counts + 0.01).sum(), abs=1e-5)
+
+
+def test_probabilities_sum_to_one():
+    p, out = small_model()
+    h = np.random.default_rng(1).standard_normal((5, 4)).astype(np.float32)
+    for row in h:
+        assert np.exp(lm.id_scores(p, out, np.repeat(row[None], 9, axis=0), np.arange(9))).sum() == pytest.approx(1, abs=1e-5)
+
+
 def test_gradients():
     r = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in lm.new_parameters(5, 4, 6).items()}
-    inputs, targets, weight, mask = r.integers(0, 6, (3, 6)), r.integers(0, 5, (3, 6)), r.integers(0, 2, (3, 6)).astype(bool), lm.causal_mask(6)
-    _, d = lm.gradients(p, inputs, targets, weight, mask)
+    p, out = small_model()
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    inputs, targets, weight = r.integers(0, 10, (3, 6)), r.integers(0, 9, (3, 6)), r.integers(0, 2, (3, 6)).astype(bool)
+    _, d = lm.gradients(p, out, inputs, targets, weight)
     for name in p:
+        full = np.zeros_like(p[name])
+        if name in lm.ROWS:
+            full[d[name][0]] = d[name][1]
+        else:
+            full = d[name]
         flat = p[name].ravel()
-        for j in range(0, len(flat), max(1, len(flat) // 5)):
+        for j in range(0, len(flat), max(1, len(flat) // 6)):
             old = flat[j]
             flat[j] = old + 1e-5
-            up = lm.gradients(p, inputs, targets, weight, mask)[0]
+            up = lm.gradients(p, out, inputs, targets, weight)[0]
             flat[j] = old - 1e-5
-            down = lm.gradients(p, inputs, targets, weight, mask)[0]
+            down = lm.gradients(p, out, inputs, targets, weight)[0]
             flat[j] = old
-            assert (up - down) / 2e-5 == pytest.approx(d[name].ravel()[j], abs=1e-4)
+            assert (up - down) / 2e-5 == pytest.approx(full.ravel()[j], abs=1e-4), name
 
 
-@pytest.mark.parametrize("stride", [12, 8, 4, 1])
-def test_each_token_once(stride):
+def plain_scores(p, out, text, context, stride):
+    """Log-probability of each id of a text, from windows of its own."""
+    vocab, scores = len(out.group), []
+    for t, target in enumerate(text):
+        first = t // stride * stride - (context - stride)  # where the window that counts this place begins
+        inputs = np.array([[vocab if i == 0 else text[i - 1] for i in range(max(0, first), t + 1)]])
+        h, _ = lm.forward(p, inputs)
+        scores.append(lm.id_scores(p, out, h[-1:], np.array([target]))[0])
+    return scores
+
+
+@pytest.mark.parametrize("stride", [6, 5, 3, 1])
+def test_each_id_once(stride):
     r = np.random.default_rng(1)
-    p = lm.new_parameters(7, 8, 12)
-    texts = [r.integers(0, 7, n) for n in (1, 0, 11, 12, 13, 40, 100, 5)]
-    got = lm.class_scores(p, texts, context=12, stride=stride, batch=3)
-    for text, score in zip(texts, got, strict=True):
-        total = 0.0
-        for t, target in enumerate(text):
-            start = (0 if t < 12 else -(-(t - 11) // stride)) * stride
-            inputs = np.array([[7 if i == 0 else text[i - 1] for i in range(start, t + 1)]])
-            logits = lm.forward(p, inputs, lm.causal_mask(12))[0][-1].astype(float)
-            total += logits[target] - np.log(np.exp(logits).sum())
-        assert score == pytest.approx(total, rel=1e-3, abs=1e-3)
+    p, out = small_model()
+    texts = [r.integers(0, 9, n) for n in (1, 0, 5, 6, 7, 40, 100, 5, 0)]
+    got = lm.Scorer(p, out, stride, batch=3).scores(np.concatenate(texts), np.array([len(t) for t in texts]))
+    assert got == pytest.approx(np.concatenate([plain_scores(p, out, t, 6, stride) for t in texts if len(t)]), abs=1e-3)
 
 
 def test_training_learns():
     r = np.random.default_rng(2)
-    texts = [np.array([(s + i * 3) % 8 for i in range(60)]) for s in r.integers(0, 8, 40)]
-    _, losses = lm.train(texts, n_classes=8, dim=16, context=12, steps=200)
-    assert losses[0] > 1.8 and np.mean(losses[-10:]) < 0.2
+    rows = np.array([[9, *[(s + i * 3) % 8 for i in range(12)]] for s in r.integers(0, 8, 400)])
+    out, bias, lean = lm.leaves(np.bincount(rows[:, 1:].ravel(), minlength=9), np.arange(9) % 3, 3)
+    p = lm.new_parameters(9, bias, lean, 16, 12)
+    _, losses = lm.fit(p, out, rows, batch=16, passes=12)
+    assert losses[0] > 1.8 and np.mean(losses[-10:]) < 0.3
+
+
+def test_windows_hold_a_texts_words():
+    coder = lm.encoder(PATH)
+    ids = lambda t: np.frombuffer(coder.encode(t), "<u4").tolist()
+    text = " ".join(f"word{i} and the cat" for i in range(100))
+    drawn = list(lm.drawn_windows(text.encode().split(), 20))
+    assert len(drawn) == 20 and drawn == list(lm.drawn_windows(text.encode().split(), 20))
+    whole = [lm.encoder(PATH).vocab_size, *ids(text), 49407]
+    for w in drawn:
+        row = lm.window_ids(w, coder, whole[0], 49407).tolist()
+        assert len(row) == lm.CONTEXT + 1
+        full = [x for x in row if x >= 0]
+        assert any(whole[i : i + len(full)] == full for i in range(len(whole)))
+        assert len(full) == len(row) or full[-1] == 49407
+    assert lm.window_ids(b"^one $", coder, 5, 6).tolist()[:3] == [5, *ids("one"), 6]
+
+
+def test_scores(spark, messy, messy_docs, empty_docs, monkeypatch):
+    fitted = {}
 
+    def train(spark, windows, counts, **more):
+        fitted["counts"] = counts
+        fitted["model"] = plain_train(spark, windows, counts, task_windows=100, **more)
+        return fitted["model"]
 
-def test_scores(spark, messy, messy_docs, empty_docs):
+    plain_train = lm.train
+    monkeypatch.setattr(lm, "train", train)
     got = collections.defaultdict(list)
-    for r in lm.score_documents(spark, messy_docs, PATH, steps=60, head_words=50).collect():
+    for r in lm.score_documents(spark, messy_docs, PATH, head_words=50, least_windows=300).collect():
         got[r["doc_id"]].append(r)
+    p, out = fitted["model"]
+    coder = lm.encoder(PATH)
+    ids = lambda w: np.frombuffer(coder.words.fresh(w), "<u4").tolist()
     learn = [t for i, t, *_ in messy if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
     counts = collections.Counter(w for t in learn for w in words(t))
+    by_id = collections.Counter(x for w, n in counts.items() for x in ids(w) * n)
+    by_id[49407] += len(learn)
+    assert {i: int(n) for i, n in enumerate(fitted["counts"]) if n} == dict(by_id)
     total, distinct = counts.total() + len(learn), len(counts) + 1
-    p = lambda c: math.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
+    base = lambda c: math.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
     for i, t, *_ in messy:
         own = words(t)
-        want = (len(own) + 1, sum(counts[w] > 0 for w in own) + 1, total, i is None or zlib.crc32(str(i).encode()) % 5 == 1)
+        held = i is None or zlib.crc32(str(i).encode()) % 5 == 1
+        want = (len(own) + 1, sum(counts[w] > 0 for w in own) + 1, total, held)
         hit = [r for r in got[i] if (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == want]
-        assert hit and any(r["base_score"] == pytest.approx(sum(p(counts[w]) for w in own) + p(len(learn))) for r in hit)
-        assert all(r["score"] < 0 for r in hit)
+        assert hit and any(r["base_score"] == pytest.approx(sum(base(counts[w]) for w in own) + base(len(learn))) for r in hit)
+        if len(own) > 400:
+            continue
+        each = [ids(w) for w in own] + [[49407]]
+        flat, at, score, mine = plain_scores(p, out, [x for e in each for x in e], lm.CONTEXT, lm.STRIDE), 0, 0.0, collections.Counter(own)
+        for w, e in zip([*own, None], each, strict=True):
+            by_ids, at = sum(flat[at : at + len(e)]), at + len(e)
+            others = (len(learn) if w is None else counts[w]) - (0 if held else 1 if w is None else mine[w])
+            score += math.log10((1 - lm.MEMORY) * math.exp(by_ids) + lm.MEMORY * others / (total - (0 if held else len(own) + 1)))
+        assert any(r["score"] == pytest.approx(score, rel=1e-3, abs=1e-2) for r in hit), i
     assert sum(map(len, got.values())) == len(messy)
-    assert lm.score_documents(spark, empty_docs, PATH, steps=2).collect() == []
-    nothing = lm.score_documents(spark, messy_docs.filter("doc_id is null"), PATH, steps=2).collect()
-    assert len(nothing) == 2 and all((r["train_tokens"], r["n_known"]) == (0, 0) for r in nothing)
-
-
-def test_model_width():
-    p, _ = lm.fit(np.zeros((1, lm.CONTEXT + 1), np.int64), steps=1)
-    assert p["embed"].shape == (lm.CLASSES + 1, 24)
-
-
-def test_classes_and_windows_come_from_whole_texts(spark, monkeypatch):
-    fitted = {}
-
-    def classes(every, cells, times, n, **more):
-        fitted["every"], fitted["cells"] = every, dict(zip(cells.tolist(), times.tolist(), strict=True))
-        return plain_classes(every, cells, times, n, **more)
-
-    def fit(rows, **more):
-        fitted["windows"], fitted["steps"] = len(rows), more["steps"]
-        return plain_fit(rows[:64], steps=2)
-
-    plain_classes, plain_fit = lm.neighbour_classes, lm.fit
-    monkeypatch.setattr(lm, "neighbour_classes", classes)
-    monkeypatch.setattr(lm, "fit", fit)
-    coder = lm.encoder(PATH)
-    ids = lambda t: np.frombuffer(coder.encode(t), "<u4").tolist()
-    late = "the cat " * 3000 + "zebra quagga"  # beyond the first 6000 characters
-    lm.score_documents(spark, table(spark, [(i, late if i == 2 else f"word{i} and the cat", "en", "s") for i in range(2000)]), PATH, steps=2)
-    learn = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1]
-    assert 2 in learn and fitted["every"][ids("quagga")[-1]] >= 1
-    counts = collections.Counter(x for i in learn for x in ids(late if i == 2 else f"word{i} and the cat"))
-    assert all(fitted["every"][x] == n for x, n in counts.items() if x != 49407)
-    column = lm.neighbour_columns(fitted["every"])
-    the, cat = ids("the")[0], ids("cat")[0]
-    assert fitted["cells"][the * 2 * lm.NEIGHBOURS + column[cat]] == len(learn) - 1 + 3000
-    assert fitted["windows"] > 1000  # nearly every text has a window of its own, the long one has few that differ
-    assert fitted["steps"] * 64 >= fitted["windows"]
+    same = [r["score"] for i in (106, 107) for r in got[i] if r["held_out"] == got[106][0]["held_out"]]
+    assert max(same) - min(same) < 1e-3  # equal texts score alike
+    assert lm.score_documents(spark, empty_docs, PATH).collect() == []
+    nothing = lm.score_documents(spark, messy_docs.filter("doc_id is null"), PATH).collect()
+    assert len(nothing) == 2 and all((r["train_tokens"], r["n_known"]) == (0, 0) and r["score"] < 0 for r in nothing)
+
+
+def test_all_training_words_count(spark):
+    rows = [(i, f"word{i} and the cat", "en", "s") for i in range(40)]
+    last = max(i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1)
+    asked = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 1)
+
+    def score(end):
+        docs = [(i, t + (" the cat" * 4000 + end if i == last else ""), lang, s) for i, t, lang, s in rows] + [(asked, "a zebra quagga", "en", "s")]
+        return {r["doc_id"]: r["score"] for r in lm.score_documents(spark, table(spark, docs), PATH, least_windows=50).collect()}[asked]
+
+    assert score(" zebra quagga") > score(" horse donkey") + 1
+
+
+def test_long_words_are_counted_by_digest(spark):
+    long = "x1y2" * 40
+    rows = [(i, f"{long} {long.upper()} a", "en", "s") for i in range(30)]
+    got = lm.score_documents(spark, table(spark, rows), PATH, least_windows=20).collect()
+    assert all((r["n_tokens"], r["n_known"]) == (4, 4) for r in got) and {r["train_tokens"] for r in got} == {4 * sum(not r["held_out"] for r in got)}
+    total = got[0]["train_tokens"]
+    p = lambda c: math.log10((c + 0.5) / (total + 0.5 * 4))
+    n = total // 4
+    assert all(r["base_score"] == pytest.approx(2 * p(2 * n) + p(n) + p(n)) for r in got)
 
 
 # ---- archives ------------------------------------------------------------------------------------

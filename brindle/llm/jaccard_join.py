@@ -1,20 +1,28 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Similar documents are partitioned into groups by the least hash of their
-shingle sets and by size, since sets of very unlike sizes can't be alike.  The matrix holds each group's union of shingles.  A document can
-only reach the threshold with a member of a group if the group's union holds
-that share of the document's shingles, so groups below the bound stay shut, and
-members of the others are compared exactly.
-
-Which groups to bound at all comes from prefixes: of two sets that reach the
-threshold, the first few shingles of each in a common order share one.  Rare
-shingles come first in that order, so passages that many documents share lead
-to no pairs.  The result is exact for any order.
+shingle sets and by size, since sets of very unlike sizes can't be alike.  The
+matrix has a row for each shingle and group.  A document can only reach the
+threshold with a member of a group if the group's union holds that share of the
+document's shingles, so groups below the bound stay shut, and members of the
+others are compared exactly.
+
+The bound is taken in two steps.  The stored matrix holds the groups' prefixes:
+of two sets that reach the threshold, the first few shingles of each in a common
+order share one, so a group without a document's prefix shingles is below the
+bound.  Rare shingles come first in that order, so passages that many documents
+share lead to no pairs.  A group that is left gets its full union, and the
+overlap with that decides whether it is opened.  The result is exact for any
+order.
 
 Scale: equal sets are one class and meet by a digest.  Groups are split at a
-bounded size.  A group emits a spanning forest of its links, not its pairs.
-Components come from alternating stars.  Nothing that grows with the documents
-is sent to the driver or broadcast.
+bounded size, and a group that many ask is copied.  Of the groups that share a
+shingle, one is the hub, which the others ask first; only groups that this
+leaves unconnected meet each other, so a cluster of near copies costs a
+comparison for each document and not for each pair of its groups.  A group
+emits a spanning forest of its links, not its pairs.  Components come from
+alternating stars.  Nothing that grows with the documents is sent to the driver
+or broadcast.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
 from .shingles import shingle_sets
@@ -122,7 +130,7 @@ class Order:
 
 
 def _prefixes(docs: DataFrame, size: int, num: int, den: int, order) -> DataFrame:
-    """doc_id, sig, least (hash), band (of its size) and prefix of every document with shingles."""
+    """doc_id, n (shingles), sig, least (hash), band (of its size) and prefix of every document with shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -131,14 +139,14 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, order) -> DataFram
         for batch in _parts(batches):
             sets = shingle_sets(batch.column(1), size)
             ids = batch.column(0).to_pylist()
-            rows = [(i, xxhash.xxh3_128_digest(s.tobytes()), s[0].view(np.int64), size_band(len(s), num, den), ranked.first(s, prefix_length(len(s), num, den)).view(np.int64)) for i, s in zip(ids, sets, strict=True) if len(s)]
+            rows = [(i, len(s), xxhash.xxh3_128_digest(s.tobytes()), s[0].view(np.int64), size_band(len(s), num, den), ranked.first(s, prefix_length(len(s), num, den)).view(np.int64)) for i, s in zip(ids, sets, strict=True) if len(s)]
             if rows:
-                i, sig, least, band, prefix = zip(*rows, strict=True)
+                i, n, sig, least, band, prefix = zip(*rows, strict=True)
                 flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32), np.concatenate(prefix))
-                yield pa.record_batch([pa.array(i, pa.int64()), pa.array(sig, pa.binary()), pa.array(np.array(least)), pa.array(band, pa.int64()), flat], names=["doc_id", "sig", "least", "band", "prefix"])
+                yield pa.record_batch([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(np.array(least)), pa.array(band, pa.int64()), flat], names=["doc_id", "n", "sig", "least", "band", "prefix"])
         release()
 
-    return docs.mapInArrow(run, "doc_id long, sig binary, least long, band long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, least long, band long, prefix array<long>")
 
 
 class Group:
@@ -190,24 +198,34 @@ class Group:
 
 
 def _links(work: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """a, b from rows (target, role, node, text) that lie together by target, members (role 0) first."""
+    """a, b from rows (target, copy, role, node, text) that lie together by target and copy, members (role 0) first.
+
+    Copies of a group get different askers; the first one tells the links between members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, nodes, sets, group, out = None, [], [], None, []
+        open_at, nodes, sets, group, out = None, [], [], None, []
 
         def open_group() -> None:
             nonlocal group
             if group is None and sets:
                 group = Group(nodes, sets, num, den)
-                out.extend(group.inner_links(sets))
+                inner = group.inner_links(sets)
+                if open_at[1] == 0:
+                    out.extend(inner)
+
+        def links() -> pa.RecordBatch:
+            a, b = zip(*out, strict=True)
+            out.clear()
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in _parts(batches):
-            for at, role, node, own in zip(*(c.to_pylist() for c in batch.columns[:3]), shingle_sets(batch.column(3), size), strict=True):
+            for target, copy, role, node, own in zip(*(c.to_pylist() for c in batch.columns[:4]), shingle_sets(batch.column(4), size), strict=True):
                 if not len(own):  # another text of the id
                     continue
-                if at != target:
+                if (target, copy) != open_at:
                     open_group()
-                    target, nodes, sets, group = at, [], [], None
+                    open_at, nodes, sets, group = (target, copy), [], [], None
                 if role == 0:
                     nodes.append(node)
                     sets.append(own)
@@ -216,13 +234,10 @@ def _links(work: DataFrame, size: int, num: int, den: int) -> DataFrame:
                     if group is not None:
                         out.extend(group.links_of(node, own))
             if out:
-                a, b = zip(*out, strict=True)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                out.clear()
+                yield links()
         open_group()
         if out:
-            a, b = zip(*out, strict=True)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield links()
         group = None
         release()
 
@@ -237,8 +252,8 @@ def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         if taken + r["rows"] > most:
             break
         taken, cut = taken + r["rows"], r["level"]
-    rows = counts.filter(level >= cut).collect()  # ``most`` rows at most
-    return np.array([r["token"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
+    rows = counts.filter(level >= cut).select("token", "count").toArrow()  # ``most`` rows at most
+    return rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy().astype(np.int64)
 
 
 def _representatives(rows: DataFrame, digests: DataFrame, classes: DataFrame, most: int):
@@ -253,7 +268,7 @@ def _representatives(rows: DataFrame, digests: DataFrame, classes: DataFrame, mo
         else:
             kept = df.join(classes.withColumnRenamed("sig", "sig2"), (F.col("sig") == F.col("sig2")) & (F.col("doc_id") == F.col("node"))).drop("sig2", "node")
         kept = kept if again else kept.dropDuplicates(["sig"])
-        return kept.select(F.col("doc_id").alias("node"), "least", "band", "prefix")
+        return kept.select(F.col("doc_id").alias("node"), "n", "least", "band", "prefix")
 
     return keep
 
@@ -265,10 +280,13 @@ def link_documents(
     size: int = 5,
     num: int = 80,
     den: int = 100,
-    group_members: int = 400,
+    group_members: int = 200,
+    group_shingles: int = 1_000_000,
+    group_askers: int = 400,
     frequent_tokens: int = 500_000,
     frequent_in_task: int = 2,
-    common_groups: int = 8,
+    common_rows: int = 8,
+    hub_rounds: int = 4,
     send_rows: int = 500_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -280,10 +298,13 @@ def link_documents(
     doc_id, n_shingles (size of the set), component_id (the least doc_id that
     links lead to, its own included).
 
-    group_members: a group is split at about so many.  frequent_tokens bounds
-    the frequency list that is sent to tasks.  frequent_in_task, common_groups:
-    from how many documents of a task, or groups of the corpus, a shingle counts
-    as frequent.  send_rows: tables of ids are broadcast up to so many rows, and
+    group_members, group_shingles: a group is split at about so many documents,
+    or shingles of all together.  group_askers: a group has a copy for about so
+    many that ask it.  frequent_tokens bounds the frequency list that is sent to
+    tasks.  frequent_in_task, common_rows:
+    from how many documents of a task, or prefixes of the corpus, a shingle counts
+    as frequent.  hub_rounds: so often, at most, hubs are asked before all that is
+    left is compared.  send_rows: tables of ids are broadcast up to so many rows, and
     joined by a shuffle beyond.  These change the work, never the result.
 
     Null, empty and blank texts have no shingles, link with nothing and are
@@ -305,15 +326,16 @@ def link_documents(
     for turn in range(2):
         order = spark.sparkContext.broadcast((tokens, often))
         held = space.save(reps(_prefixes(rows, size, num, den, order)), f"prefixes{turn}")
-        crowd = held.groupBy("least", "band").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > group_members)
-        share = F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / group_members))
+        parts = F.greatest(F.ceil(F.count("*") / group_members), F.ceil(F.sum("n") / group_shingles)).alias("parts")
+        crowd = held.groupBy("least", "band").agg(parts).filter("parts > 1")
+        share = F.pmod(F.xxhash64("node"), F.col("parts"))
         groups = held.join(sent(crowd, send_rows), ["least", "band"], "left").select(
             "node", F.xxhash64("least", "band", F.coalesce(share, F.lit(0).cast("long"))).alias("gid"), "band", "prefix"
         )
-        each = groups.select(F.explode("prefix").alias("token"), "gid", "band").repartition(shuffle_partitions(spark), "token").distinct()
-        shared = each.withColumn("spread", F.count("*").over(Window.partitionBy("token"))).filter("spread > 1")
-        meet = space.save(shared, f"meet{turn}")
-        more, times = _frequent(meet.filter(F.col("spread") >= common_groups).groupBy("token").agg(F.max("spread").alias("count")), frequent_tokens)
+        matrix = groups.select(F.explode("prefix").alias("token"), "gid", "band", "node").repartition(shuffle_partitions(spark), "token")
+        held_by = matrix.groupBy("token").agg(F.count("*").alias("spread"), F.min("gid").alias("low"), F.max("gid").alias("high")).filter("low <> high").select("token", "spread")
+        meet = space.save(matrix.join(held_by.hint("shuffle_hash"), "token"), f"meet{turn}")
+        more, times = _frequent(meet.filter(F.col("spread") >= common_rows).groupBy("token").agg(F.max("spread").alias("count")), frequent_tokens)
         new = ~np.isin(more, tokens)
         if turn or not new.any():
             break
@@ -322,39 +344,71 @@ def link_documents(
         space.drop(f"prefixes{turn}")
         space.drop(f"meet{turn}")
 
-    # groups that may hold partners of one another
-    a, b = meet.select("token", F.col("gid").alias("ga"), "band"), meet.select(F.col("token").alias("token2"), F.col("gid").alias("gb"), F.col("band").alias("band2"))
-    near = F.abs(F.col("band") - F.col("band2")) <= 1 if num < den else F.col("band") == F.col("band2")
-    pairs = space.save(a.join(b, (F.col("token") == F.col("token2")) & (F.col("ga") < F.col("gb")) & near).select("ga", "gb").distinct(), "pairs")
-    sizes = space.save(groups.groupBy("gid").agg(F.count("*").alias("members"), F.min("node").alias("one")), "sizes")
-    of = lambda g, n, one: sizes.select(F.col("gid").alias(g), F.col("members").alias(n), F.col("one").alias(one))
-    sized = space.save(pairs.join(of("ga", "na", "one_a"), "ga").join(of("gb", "nb", "one_b"), "gb"), "sized")
-
-    # first within groups, and the smaller of two groups against the larger
-    members = groups.select("gid", "node")
-    larger = sizes.filter("members > 1").select(F.col("gid").alias("target"))
-    inside = members.join(larger, F.col("gid") == F.col("target")).select("target", F.lit(0).alias("role"), "node")
-    first_a = F.col("na") >= F.col("nb")
-    sides = sized.filter((F.col("na") > 1) | (F.col("nb") > 1)).select(F.when(first_a, F.col("ga")).otherwise(F.col("gb")).alias("target"), F.when(first_a, F.col("gb")).otherwise(F.col("ga")).alias("asking"))
-    asked = members.join(sides, F.col("gid") == F.col("asking")).select("target", F.lit(1).alias("role"), "node")
-    work = space.save(inside.union(asked), "work0")
-
-    def compare(work: DataFrame, name: str) -> DataFrame:
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= 1 if num < den else F.col(x) == F.col(y)
+    members = space.save(groups.select("gid", "node"), "members")
+    sizes = space.save(members.groupBy("gid").agg(F.count("*").alias("n")), "sizes")
+    meet = meet.select("token", "gid", "band", "node")
+
+    def compare(asked: DataFrame, inside: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Links of rows (target, node) with the groups they ask, and within the groups ``inside`` (target); and these rows, stored."""
+        asked = space.save(asked, f"asked_{name}")
+        copies = asked.groupBy("target").agg(F.count("*").alias("n")).union(inside.select("target", F.lit(0).cast("long"))).groupBy("target").agg(F.sum("n").alias("n"))
+        copies = space.save(copies.select("target", F.greatest(F.lit(1), F.ceil(F.col("n") / group_askers)).alias("copies")), f"copies_{name}")
+        dealt = asked.join(sent(copies.filter("copies > 1"), send_rows), "target", "left")
+        askers = dealt.select("target", F.coalesce(F.pmod(F.xxhash64("node"), F.col("copies")), F.lit(0).cast("long")).alias("copy"), F.lit(1).alias("role"), "node")
+        held = members.join(copies, F.col("gid") == F.col("target")).select("target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("role"), "node")
+        work = space.save(held.union(askers), f"work_{name}")
         # texts shuffle for less than their sets do
-        dealt = rows.join(sent(work, send_rows), F.col("doc_id") == F.col("node")).select("target", "role", "node", "text")
-        dealt = dealt.repartition(shuffle_partitions(spark), "target").sortWithinPartitions("target", "role", "node")
-        return space.save(_links(dealt, size, num, den), name)
-
-    known = space.save(components(compare(work, "links0"), space, "a"), "roots0")
-
-    # then documents alone in their groups, where they aren't connected yet
-    root = lambda c: known.select(F.col("node").alias(f"of_{c}"), F.col("root").alias(f"root_{c}"))
-    alone = sized.filter("na = 1 and nb = 1").join(root("a"), F.col("one_a") == F.col("of_a"), "left").join(root("b"), F.col("one_b") == F.col("of_b"), "left")
-    apart = alone.filter(F.coalesce("root_a", "one_a") != F.coalesce("root_b", "one_b"))
-    both = F.explode(F.array(F.struct(F.lit(0).alias("role"), F.col("one_a").alias("node")), F.struct(F.lit(1).alias("role"), F.col("one_b").alias("node"))))
-    work = space.save(apart.select(F.col("ga").alias("target"), both.alias("x")).select("target", "x.role", "x.node").distinct(), "work1")
-    edges = known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(compare(work, "links1"))
-    roots = components(edges, space, "b")
+        texts = rows.join(sent(work, send_rows), F.col("doc_id") == F.col("node")).select("target", "copy", "role", "node", "text")
+        texts = texts.repartition(shuffle_partitions(spark), "target", "copy").sortWithinPartitions("target", "copy", "role", "node")
+        return space.save(_links(texts, size, num, den), f"links_{name}"), asked
+
+    def rooted(known: DataFrame, name: str) -> DataFrame:
+        """gid, node, root of all documents."""
+        named = members.join(sent(known.withColumnRenamed("node", "of"), send_rows), F.col("node") == F.col("of"), "left")
+        return space.save(named.select("gid", "node", F.coalesce("root", "node").alias("root")), f"rooted{name}")
+
+    def still_open(entries: DataFrame, named: DataFrame, name: str) -> DataFrame:
+        """Entries (token, gid, band, node, root) of shingles that documents of several components hold."""
+        entries = entries.join(named.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of")).drop("of")
+        several = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
+        return space.save(entries.join(several, "token", "left_semi"), f"entries{name}")
+
+    # within groups, and documents against the group that is the hub of a shingle; then other hubs, for what isn't connected.
+    # A hub belongs to the component that most of the shingle's documents are in, so only the others ask.
+    nothing = spark.createDataFrame([], "a long, b long")
+    larger = sizes.filter("n > 1").select(F.col("gid").alias("target"))
+    known, asked_before, entries = nothing.toDF("node", "root"), nothing.toDF("target", "node"), meet.withColumn("root", F.lit(0).cast("long"))
+    for turn in range(hub_rounds):
+        if turn:
+            entries = still_open(entries.drop("root"), rooted(known, str(turn)), str(turn))
+        kinds = entries.groupBy("token", "root").agg(F.count("*").alias("nodes"), F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("turn"), "gid", "band")).alias("hub"))
+        most = F.max(F.struct("nodes", "root", "hub"))
+        hubs = kinds.groupBy("token").agg(most.alias("main"), F.sum("nodes").alias("nodes")).select(
+            F.col("token").alias("of"), F.col("main.root").alias("main"), F.col("main.hub.gid").alias("target"), F.col("main.hub.band").alias("hub_band"), (F.col("nodes") - F.col("main.nodes")).alias("others")
+        )
+        if turn:
+            hubs = space.save(hubs, f"hubs{turn}")
+            spread = entries.groupBy("token").agg(F.approx_count_distinct("gid").alias("gids")).join(hubs, F.col("token") == F.col("of"))
+            work = spread.agg(F.coalesce(F.sum(F.col("others") * F.col("gids")), F.lit(0)).alias("all"), F.coalesce(F.sum("others"), F.lit(0)).alias("round")).first()
+            if work["all"] <= 8 * work["round"]:  # all that is left costs little more than another round
+                break
+        asked = entries.join(hubs, F.col("token") == F.col("of")).filter((F.col("gid") != F.col("target")) & near("band", "hub_band"))
+        asked = (asked.filter(F.col("root") != F.col("main")) if turn else asked).select("target", "node").distinct().join(asked_before, ["target", "node"], "left_anti")
+        links, asked = compare(asked, larger if not turn else larger.limit(0), f"hub{turn}")
+        asked_before = asked_before.union(asked)
+        known = space.save(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), space, f"hub{turn}"), f"roots{turn}")
+
+    # what is left: where documents of two components hold a shingle, those of the one that holds it less often ask the other's groups
+    entries = still_open(entries.drop("root"), rooted(known, "rest"), "rest")
+    kinds = entries.groupBy("token", "root").agg(F.count("*").alias("c"))
+    others = kinds.select(F.col("token").alias("token2"), F.struct("c", "root").alias("more"))
+    between = kinds.join(others, (F.col("token") == F.col("token2")) & (F.struct("c", "root") < F.col("more"))).select("token", "root", F.col("more.root").alias("root2"))
+    targets = entries.select(F.col("token").alias("t2"), F.col("root").alias("r2"), F.col("gid").alias("target"), F.col("band").alias("band2")).distinct()
+    asked = entries.join(between, ["token", "root"]).join(targets, (F.col("token") == F.col("t2")) & (F.col("root2") == F.col("r2")))
+    asked = asked.filter((F.col("gid") != F.col("target")) & near("band", "band2")).select("target", "node").distinct().join(asked_before, ["target", "node"], "left_anti")
+    links, _ = compare(asked, larger.limit(0), "rest")
+    roots = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), space, "rest")
 
     named = digests.join(classes, "sig", "left").join(roots.withColumnRenamed("node", "node2"), F.col("node") == F.col("node2"), "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(F.col("doc_id")).alias("component_id"))

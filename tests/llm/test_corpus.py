@@ -339,7 +339,7 @@ def joined(spark, docs, **options):
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link_documents(spark, docs, **options).collect()), key=key)
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, {"size": 4, "num": 85}), (2, {"size": 5, "num": 80}), (3, {"size": 2, "num": 60, "group_members": 3}), (4, {"size": 4, "num": 85, "common_groups": 2, "frequent_tokens": 40, "send_rows": 0})])
+@pytest.mark.parametrize(("seed", "options"), [(1, {"size": 4, "num": 85}), (2, {"size": 5, "num": 80}), (3, {"size": 2, "num": 60, "group_members": 3, "group_askers": 2}), (4, {"size": 4, "num": 85, "common_rows": 2, "frequent_tokens": 40, "send_rows": 0})])
 def test_join(spark, seed, options):
     rows = copies(random.Random(seed), 220)
     want = sorted(plain_components(rows, options["size"], options["num"], 100))
@@ -358,6 +358,30 @@ def test_join_edges(spark, messy, messy_docs, empty_docs):
         assert joined(spark, table(spark, edge), size=4, num=num) == sorted(plain_components(edge, 4, num, 100))
 
 
+def test_near_copies_cost_a_comparison_each(spark, monkeypatch):
+    compared, plain_links = [], jaccard_join._links
+
+    def links(work, *options):
+        compared.append(work.count())
+        return plain_links(work, *options)
+
+    monkeypatch.setattr(jaccard_join, "_links", links)
+    rng, took = random.Random(1), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    for n in (300, 900):
+        rows = []
+        for i in range(n):
+            own = list(base)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            rows.append((i, " ".join(own), "en", "s"))
+        compared.clear()
+        found = jaccard_join.link_documents(spark, table(spark, rows), size=4, num=85, group_members=10, group_askers=20).collect()
+        assert {r["component_id"] for r in found} == {0}
+        took.append(sum(compared))
+    assert took[1] < 5 * took[0]  # all pairs of groups would be 9 times as many
+
+
 def test_shingles_of_long_texts(monkeypatch):
     import pyarrow as pa
 

@@ -9,9 +9,10 @@ others are compared exactly.
 
 The bound is taken in two steps.  The stored matrix holds the groups' prefixes:
 of two sets that reach the threshold, the first few shingles of each in a common
-order share one, so a group without a document's prefix shingles is below the
-bound.  Rare shingles come first in that order, so passages that many documents
-share lead to no pairs.  A group that is left gets its full union, and the
+order share one, and behind the first that they share there must be enough left
+of both.  A group without such a shingle of a document is below the bound.  Rare
+shingles come first in that order, so passages that many documents share lead to
+no pairs.  A group that is left gets its full union, and the
 overlap with that decides whether it is opened.  The result is exact for any
 order.
 
@@ -286,7 +287,7 @@ def link_documents(
     frequent_tokens: int = 500_000,
     frequent_in_task: int = 2,
     common_rows: int = 8,
-    hub_rounds: int = 4,
+    hub_rounds: int = 2,
     send_rows: int = 500_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -330,24 +331,29 @@ def link_documents(
         crowd = held.groupBy("least", "band").agg(parts).filter("parts > 1")
         share = F.pmod(F.xxhash64("node"), F.col("parts"))
         groups = held.join(sent(crowd, send_rows), ["least", "band"], "left").select(
-            "node", F.xxhash64("least", "band", F.coalesce(share, F.lit(0).cast("long"))).alias("gid"), "band", "prefix"
+            "node", "n", F.xxhash64("least", "band", F.coalesce(share, F.lit(0).cast("long"))).alias("gid"), "prefix"
         )
-        matrix = groups.select(F.explode("prefix").alias("token"), "gid", "band", "node").repartition(shuffle_partitions(spark), "token")
-        held_by = matrix.groupBy("token").agg(F.count("*").alias("spread"), F.min("gid").alias("low"), F.max("gid").alias("high")).filter("low <> high").select("token", "spread")
-        meet = space.save(matrix.join(held_by.hint("shuffle_hash"), "token"), f"meet{turn}")
+        # Two sets share num * (n + n2) / (num + den) shingles at least, and of these the first in the order
+        # leaves room for the others behind it in both: den * n - (num + den) * place >= num * n2, both ways round.
+        reach = (F.lit(den) * F.col("n").cast("long") - F.lit(num + den) * F.col("at")).cast("long")
+        placed = groups.select(F.posexplode("prefix").alias("at", "token"), "gid", "node", F.col("n").cast("int").alias("n")).select("token", "gid", "node", "n", reach.alias("reach"))
+        matrix = placed.repartition(shuffle_partitions(spark), "token")
+        held_by = matrix.groupBy("token").agg(F.count("*").alias("spread"), F.min("gid").alias("first"), F.max("gid").alias("last"), F.min("n").alias("least"), F.max("reach").alias("most"))
+        held_by = held_by.filter("first <> last").select("token", "spread", "least", "most")
+        met = matrix.join(held_by.hint("shuffle_hash"), "token").filter((F.col("reach") >= F.lit(num) * F.col("least")) & (F.col("most") >= F.lit(num) * F.col("n")))
+        meet = space.save(met.select("token", "gid", "node", "n", "reach", "spread"), f"meet{turn}")
         more, times = _frequent(meet.filter(F.col("spread") >= common_rows).groupBy("token").agg(F.max("spread").alias("count")), frequent_tokens)
         new = ~np.isin(more, tokens)
-        if turn or not new.any():
+        if turn or times[new].sum() < 0.1 * meet.count():  # a better order would save little
             break
         keep = np.argsort(-np.concatenate([often, times[new]]), kind="stable")[:frequent_tokens]
         tokens, often = np.concatenate([tokens, more[new]])[keep], np.concatenate([often, times[new]])[keep]
         space.drop(f"prefixes{turn}")
         space.drop(f"meet{turn}")
 
-    near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= 1 if num < den else F.col(x) == F.col(y)
     members = space.save(groups.select("gid", "node"), "members")
     sizes = space.save(members.groupBy("gid").agg(F.count("*").alias("n")), "sizes")
-    meet = meet.select("token", "gid", "band", "node")
+    meet = meet.select("token", "gid", "node", "n", "reach")
 
     def compare(asked: DataFrame, inside: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Links of rows (target, node) with the groups they ask, and within the groups ``inside`` (target); and these rows, stored."""
@@ -369,11 +375,17 @@ def link_documents(
         return space.save(named.select("gid", "node", F.coalesce("root", "node").alias("root")), f"rooted{name}")
 
     def still_open(entries: DataFrame, named: DataFrame, name: str) -> DataFrame:
-        """Entries (token, gid, band, node, root) of shingles that documents of several components hold."""
+        """Entries (token, gid, node, n, reach, root) of shingles that documents of several components hold."""
         entries = entries.join(named.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of")).drop("of")
         several = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
         return space.save(entries.join(several, "token", "left_semi"), f"entries{name}")
 
+    def spots(entries: DataFrame) -> DataFrame:
+        """For each shingle, component and group: how many documents hold it, the least size and the furthest reach of these."""
+        return entries.groupBy("token", "root", "gid").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("reach").alias("most"))
+
+    may_link = (F.col("gid") != F.col("target")) & (F.col("reach") >= F.lit(num) * F.col("least")) & (F.col("most") >= F.lit(num) * F.col("n"))
+
     # within groups, and documents against the group that is the hub of a shingle; then other hubs, for what isn't connected.
     # A hub belongs to the component that most of the shingle's documents are in, so only the others ask.
     nothing = spark.createDataFrame([], "a long, b long")
@@ -382,18 +394,17 @@ def link_documents(
     for turn in range(hub_rounds):
         if turn:
             entries = still_open(entries.drop("root"), rooted(known, str(turn)), str(turn))
-        kinds = entries.groupBy("token", "root").agg(F.count("*").alias("nodes"), F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("turn"), "gid", "band")).alias("hub"))
-        most = F.max(F.struct("nodes", "root", "hub"))
-        hubs = kinds.groupBy("token").agg(most.alias("main"), F.sum("nodes").alias("nodes")).select(
-            F.col("token").alias("of"), F.col("main.root").alias("main"), F.col("main.hub.gid").alias("target"), F.col("main.hub.band").alias("hub_band"), (F.col("nodes") - F.col("main.nodes")).alias("others")
+        place = F.struct(F.xxhash64("gid", F.lit(turn)).alias("turn"), "gid", "least", "most")
+        kinds = spots(entries).groupBy("token", "root").agg(F.sum("c").alias("c"), F.count("*").alias("gids"), F.min(place).alias("hub"))
+        hubs = kinds.groupBy("token").agg(F.max(F.struct("c", "root", "hub")).alias("main"), F.sum("c").alias("c"), F.sum("gids").alias("gids")).select(
+            F.col("token").alias("of"), F.col("main.root").alias("main"), F.col("main.hub.gid").alias("target"), "main.hub.least", "main.hub.most", (F.col("c") - F.col("main.c")).alias("others"), "gids"
         )
         if turn:
             hubs = space.save(hubs, f"hubs{turn}")
-            spread = entries.groupBy("token").agg(F.approx_count_distinct("gid").alias("gids")).join(hubs, F.col("token") == F.col("of"))
-            work = spread.agg(F.coalesce(F.sum(F.col("others") * F.col("gids")), F.lit(0)).alias("all"), F.coalesce(F.sum("others"), F.lit(0)).alias("round")).first()
+            work = hubs.agg(F.coalesce(F.sum(F.col("others") * F.col("gids")), F.lit(0)).alias("all"), F.coalesce(F.sum("others"), F.lit(0)).alias("round")).first()
             if work["all"] <= 8 * work["round"]:  # all that is left costs little more than another round
                 break
-        asked = entries.join(hubs, F.col("token") == F.col("of")).filter((F.col("gid") != F.col("target")) & near("band", "hub_band"))
+        asked = entries.join(hubs, F.col("token") == F.col("of")).filter(may_link)
         asked = (asked.filter(F.col("root") != F.col("main")) if turn else asked).select("target", "node").distinct().join(asked_before, ["target", "node"], "left_anti")
         links, asked = compare(asked, larger if not turn else larger.limit(0), f"hub{turn}")
         asked_before = asked_before.union(asked)
@@ -401,12 +412,13 @@ def link_documents(
 
     # what is left: where documents of two components hold a shingle, those of the one that holds it less often ask the other's groups
     entries = still_open(entries.drop("root"), rooted(known, "rest"), "rest")
-    kinds = entries.groupBy("token", "root").agg(F.count("*").alias("c"))
+    there = space.save(spots(entries), "spots")
+    kinds = there.groupBy("token", "root").agg(F.sum("c").alias("c"))
     others = kinds.select(F.col("token").alias("token2"), F.struct("c", "root").alias("more"))
     between = kinds.join(others, (F.col("token") == F.col("token2")) & (F.struct("c", "root") < F.col("more"))).select("token", "root", F.col("more.root").alias("root2"))
-    targets = entries.select(F.col("token").alias("t2"), F.col("root").alias("r2"), F.col("gid").alias("target"), F.col("band").alias("band2")).distinct()
+    targets = there.select(F.col("token").alias("t2"), F.col("root").alias("r2"), F.col("gid").alias("target"), "least", "most")
     asked = entries.join(between, ["token", "root"]).join(targets, (F.col("token") == F.col("t2")) & (F.col("root2") == F.col("r2")))
-    asked = asked.filter((F.col("gid") != F.col("target")) & near("band", "band2")).select("target", "node").distinct().join(asked_before, ["target", "node"], "left_anti")
+    asked = asked.filter(may_link).select("target", "node").distinct().join(asked_before, ["target", "node"], "left_anti")
     links, _ = compare(asked, larger.limit(0), "rest")
     roots = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), space, "rest")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,12 +16,16 @@ _own: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session does not set it (tests on one machine) a temporary
-    folder is made, and removed when the process ends.
+    Only where the session does not set it and runs on one machine (tests) a
+    temporary folder is made, and removed when the process ends.  Elsewhere
+    executors would not see each other's files: ValueError.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[[^-]*\])?$", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="brindle-")
@@ -33,7 +38,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/brindle/{label}-{uuid.uuid4().hex[:12]}"
+        self.path = f"{shared_root(spark)}/brindle/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         """Write ``df`` as Parquet and return it as read back: lineage is cut."""
@@ -44,9 +49,17 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(conf).delete(path, True)
+        _delete(self.spark, f"{self.path}/{name}")
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, whose results must have been written by then."""
+    _delete(spark, f"{shared_root(spark)}/brindle/{spark.sparkContext.applicationId}")
 
 
 def sent(df: DataFrame, most: int) -> DataFrame:
@@ -56,3 +69,24 @@ def sent(df: DataFrame, most: int) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_by_key(left: DataFrame, right: DataFrame, keys: list[str], rows: str, *, how: str = "inner", hot: int = 1000) -> DataFrame:
+    """``left`` with the columns of its key's row in ``right`` (but ``rows``), null keys as keys too.
+
+    right: a row for each key; ``rows`` says how many rows of ``left`` have it.
+    Keys of more than 1/``hot`` of all rows, fewer than ``hot`` of them, are
+    broadcast, the others shuffle: no task gets a hot key.  how: inner or left.
+    right is read several times: a stored table.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    named = right.select(*[F.col(k).alias(f"__key_{k}") for k in keys], rows, *[c for c in right.columns if c not in (*keys, rows)])
+    many = F.col(rows) * hot > total
+    frequent, rest = named.filter(many).drop(rows), named.filter(~many).drop(rows)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    drop = [f"__key_{k}" for k in keys]
+    ours = left.join(F.broadcast(frequent), same)
+    theirs = left.join(F.broadcast(frequent.select(*drop)), same, "left_anti").join(rest, same, how)
+    return ours.unionByName(theirs).drop(*drop)

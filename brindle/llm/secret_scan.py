@@ -7,15 +7,16 @@ that looks random is taken for live.  Values known as live also mark the
 places where they stand bare, without a keyword.
 
 DataFrame functions only.  One narrow pass finds candidates; only hashes,
-places and owners shuffle, combined on the map side, so a value may stand in
-any share of the rows.
+places and owners shuffle, combined on the map side, and values that stand in a
+large share of the rows meet their owners by a broadcast of these values (a
+bounded number), so a value may stand in any share of the rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .workspace import Workspace, sent
+from .workspace import Workspace, join_by_key, sent
 
 # The patterns, the least length of what they must hold, and their order.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,15 +35,20 @@ ASSIGN_CHARS = 6
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|your|test|xxxx|1234567|abcdef0"
 
 
-def places(text: str, matches: str, parts: Column) -> Column:
+def running(values: Column, block: int = 256) -> Column:
+    """What stands before each value of an array: the sum of all earlier ones.  By blocks, so that the work grows with the length."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"))
+    add = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["before"], F.array(a["at"])).alias("before"))
+    starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))
+    blocks = F.transform(starts, lambda b: F.aggregate(F.slice(values, b * block + 1, F.lit(block)), empty, add))
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), F.aggregate(F.transform(blocks, lambda b: b["at"]), empty, add)["before"].alias("o")), lambda z: F.transform(z["b"]["before"], lambda x: x + z["o"])))
+
+
+def places(text: str, matches: str, parts: str) -> Column:
     """Start of each match, from the pieces of text between matches (code points, from 0)."""
-    empty = F.array().cast("array<int>")
-    step = lambda a, i: F.struct(
-        (a["at"] + F.length(F.get("__parts", i)) + F.length(F.get(matches, i))).alias("at"),
-        F.concat(a["starts"], F.array(a["at"] + F.length(F.get("__parts", i)))).alias("starts"),
-    )
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), F.struct(F.lit(0).alias("at"), empty.alias("starts")), step, lambda a: a["starts"])
-    return F.when(F.size(matches) > 0, folded).otherwise(empty)
+    before = lambda i: F.length(F.get(parts, i))
+    widths = F.transform(matches, lambda m, i: before(i) + F.length(m))
+    return F.when(F.size(matches) > 0, F.transform(running(widths), lambda x, i: x + before(i))).otherwise(F.array().cast("array<int>"))
 
 
 def _find(df: DataFrame, kind: int, pattern: str, name: str) -> DataFrame:
@@ -50,7 +56,7 @@ def _find(df: DataFrame, kind: int, pattern: str, name: str) -> DataFrame:
     held = [c for c in df.columns]
     hit = df.select(*held, F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)).alias("__m"))
     cut = hit.select(*held, "__m", F.when(F.size("__m") > 0, F.split("__text", pattern, -1)).alias("__parts"))
-    placed = cut.select(*held, "__m", places("__text", "__m", F.col("__parts")).alias("__at"))
+    placed = cut.select(*held, "__m", places("__text", "__m", "__parts").alias("__at"))
     value = (lambda m: F.regexp_extract(m, ASSIGN, 2)) if KINDS[kind] == "assign" else (lambda m: m)
     span = lambda m, i: F.struct(
         F.get("__at", i).alias("start"), F.lit(kind).alias("kind"), (F.get("__at", i) + F.length(m)).alias("end"), value(m).alias("value")
@@ -95,14 +101,14 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, owners, repos, keyed: in how many owners and repositories each value stands, and whether ever with a keyword."""
+    """hash, owners, repos, keyed, places: in how many owners and repositories each value stands, whether ever with a keyword, and how often."""
     return (
         found.groupBy("hash", "owner", "repo")
-        .agg(F.max("keyed").alias("keyed"))
+        .agg(F.max("keyed").alias("keyed"), F.count("*").alias("places"))
         .groupBy("hash", "owner")
-        .agg(F.count("*").alias("repos"), F.max("keyed").alias("keyed"))
+        .agg(F.count("*").alias("repos"), F.max("keyed").alias("keyed"), F.sum("places").alias("places"))
         .groupBy("hash")
-        .agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max("keyed").alias("keyed"))
+        .agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max("keyed").alias("keyed"), F.sum("places").alias("places"))
     )
 
 
@@ -135,7 +141,9 @@ def scan(
     Repeated rows are scanned each.  An empty table gives no rows.
     """
     space = Workspace(docs.sparkSession, "secrets")
-    rows = space.save(candidates(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col), "found").withColumn("row", F.monotonically_increasing_id())
+    found = candidates(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col)
+    # the number is stored with the row: reading the table again may deal it out differently
+    rows = space.save(found.withColumn("row", F.monotonically_increasing_id()), "found")
     beside = lambda s, b: (s["start"] < b["end"]) & (b["start"] < s["end"])
     free = F.filter("bare", lambda s: ~F.exists("base", lambda b: beside(s, b)))
     every = rows.select("row", F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repo", F.lit("\0")).alias("repo"), F.explode(F.concat("base", free)).alias("s"))
@@ -153,7 +161,7 @@ def scan(
         value.rlike(PLACEHOLDER).alias("placeholder"),
     )
     seen = space.save(seen, "places")
-    judged = seen.drop("keyed").join(ownership(seen), "hash")
+    judged = join_by_key(seen.drop("keyed"), space.save(ownership(seen), "owners"), ["hash"], "places")
     alone = F.col("keyed") & (F.col("owners") == 1) & ~F.col("placeholder")
     verdict = F.when((F.col("owners") >= example_owners) | (F.col("repos") >= example_repos), "example").when(F.col("random") | alone, "live").otherwise("weak")
     marked = judged.withColumn("verdict", verdict).filter((F.col("kind") < 3) | (F.col("keyed") & (F.col("verdict") == "live")))

@@ -9,14 +9,14 @@ permutation of its own.
 
 Scale: a document's block comes from a hash of its id, so a source that holds
 most rows has most blocks and no key is hot.  Only sums by source and block are
-ordered, never documents.
+ordered, in parts of ``part_blocks`` of them, never documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, join_by_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 NO_SOURCE = "\0"
@@ -95,6 +95,7 @@ def mix(
     budget_tokens: int | None = None,
     block_tokens: int = 1_000_000,
     least_blocks: int = 64,
+    part_blocks: int = 4096,
     seed: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -113,7 +114,7 @@ def mix(
     With budget_tokens None every document stands in the mixture at least once.
 
     Null sources are one source.  Null and empty texts count one token, their
-    end.  Rows with null ids share a block.  Repeated rows are mixed each.  An
+    end.  Rows with null ids are dealt by their text.  Repeated rows are mixed each.  An
     empty table gives no rows.  ``names`` names the last three columns, which
     must not clash with those kept (ValueError).
     """
@@ -125,17 +126,26 @@ def mix(
     rows = docs.select(
         *[own[c].alias(f"__c{i}") for i, c in enumerate(kept)],
         F.coalesce(docs[source_col].cast("string"), F.lit(NO_SOURCE)).alias("__s"),
-        F.xxhash64(docs[id_col].cast("long")).alias("__h"),
+        F.when(docs[id_col].isNull(), F.xxhash64(docs[text_col], F.lit("text"))).otherwise(F.xxhash64(docs[id_col].cast("long"))).alias("__h"),
         token_count(docs[text_col]).alias("__n"),
     )
-    sources = space.save(rows.groupBy(F.col("__s").alias("source")).agg(F.sum("__n").alias("tokens")), "sources")
+    sources = space.save(rows.groupBy(F.col("__s").alias("source")).agg(F.sum("__n").alias("tokens"), F.count("*").alias("rows")), "sources")
     weighted, _ = weights(sources, target_entropy=target_entropy, max_repeats=max_repeats, budget_tokens=budget_tokens)
-    weighted = weighted.withColumn("blocks", F.greatest(F.lit(least_blocks).cast("long"), F.ceil(F.col("tokens") / F.lit(block_tokens)))).select("source", "tokens", "budget", "blocks")
-    placed = rows.join(weighted.select(F.col("source").alias("__s2"), "blocks"), F.col("__s") == F.col("__s2")).withColumn("block", F.pmod("__h", "blocks"))
+    weighted = weighted.withColumn("blocks", F.greatest(F.lit(least_blocks).cast("long"), F.ceil(F.col("tokens") / F.lit(block_tokens))))
+    weighted = space.save(weighted.select("source", "rows", "tokens", "budget", "blocks"), "weighted")
+    placed = join_by_key(rows, weighted.select(F.col("source").alias("__s"), "rows", "blocks"), ["__s"], "rows").withColumn("block", F.pmod("__h", "blocks"))
     blocks = space.save(placed.groupBy(F.col("__s").alias("source"), "block").agg(F.sum("__n").alias("n")), "blocks")
-    passes = blocks.join(weighted.drop("blocks"), "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor(F.col("budget") / F.col("tokens") + 1e-9).cast("int"))))
-    shuffled = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "source", "epoch", "block"), "block")
-    before = F.coalesce(F.sum("n").over(shuffled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("epoch") * F.col("tokens")
+    of_source = weighted.select(F.col("source").alias("__of"), "tokens", "budget", "blocks")
+    passes = blocks.join(of_source, F.col("source") == F.col("__of")).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor(F.col("budget") / F.col("tokens") + 1e-9).cast("int"))))
+    # a pass takes its blocks in the order of a hash; parts of that order are summed first, so that no task orders all of them
+    passes = passes.withColumn("turn", F.xxhash64(F.lit(seed), "source", "epoch", "block"))
+    passes = passes.withColumn("part", F.floor((F.col("turn").cast("double") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("blocks") / part_blocks)))
+    sums = passes.groupBy("source", "epoch", "part").agg(F.sum("n").alias("sum"))
+    earlier = Window.partitionBy("source", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("source", "epoch", "part", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("parts_before"))
+    shuffled = Window.partitionBy("source", "epoch", "part").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
+    passes = passes.join(sums, ["source", "epoch", "part"])
+    before = F.col("parts_before") + F.coalesce(F.sum("n").over(shuffled), F.lit(0)) + F.col("epoch") * F.col("tokens")
     drawn = passes.withColumn("before", before).filter(F.col("before") + F.col("n") / 2 <= F.col("budget") * (1 + 1e-9))
     turns = drawn.groupBy(F.col("source").alias("__s3"), F.col("block").alias("__b3")).agg(
         F.collect_list(F.struct("epoch", F.least(F.col("before") / F.col("budget"), F.lit(1.0)).alias("position"))).alias("turns")

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, join_by_key
 
 # White space between words, and the signs that count as symbols.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -81,8 +81,8 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _limits(measured: DataFrame, groups: list[str], rules: list[str], *, reach: float, k: int) -> DataFrame:
-    """``groups``, and for each rule ``<rule>_hi`` (and ``_lo``): null where the whole corpus has no spread."""
+def _limits(measured: DataFrame, groups: list[str], rules: list[str], *, reach: float, k: int, rows: str = "rows") -> DataFrame:
+    """``groups``, their ``rows``, and for each rule ``<rule>_hi`` (and ``_lo``): null where the whole corpus has no spread."""
     sketches = measured.groupBy(*groups).agg(F.count("*").alias("__rows"), *[F.kll_sketch_agg_double(F.col(r), F.lit(k)).alias(r) for r in rules])
     at = lambda r, q: F.kll_sketch_get_quantile_double(F.col(r), F.lit(q))
     own = sketches.select(*groups, "__rows", *[at(r, q).alias(f"{r}_{i}") for r in rules for i, q in enumerate(RULES[r][:2])])
@@ -97,16 +97,7 @@ def _limits(measured: DataFrame, groups: list[str], rules: list[str], *, reach:
         columns.append((F.col(f"{r}_1" if low else f"{r}_0") + reach * wide).alias(f"{r}_hi"))
         if low:
             columns.append((F.col(f"{r}_0") - reach * wide).alias(f"{r}_lo"))
-    return own.crossJoin(F.broadcast(usual)).select(*groups, *columns)
-
-
-def _beside(rows: DataFrame, limits: DataFrame, groups: list[str]) -> DataFrame:
-    """``rows`` with the limits of their group, which may be null."""
-    named = limits.select(*[F.col(g).alias(f"{g}2") for g in groups], *[c for c in limits.columns if c not in groups])
-    same = F.lit(True)
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"{g}2"))
-    return rows.join(named, same, "left").drop(*[f"{g}2" for g in groups])
+    return own.crossJoin(F.broadcast(usual)).select(*groups, F.col("__rows").alias(rows), *columns)
 
 
 def _inside(rules: list[str]) -> Column:
@@ -122,7 +113,7 @@ def _inside(rules: list[str]) -> Column:
 
 
 def fences(measured: DataFrame, groups: list[str], space: Workspace, *, reach: float = 3.0, k: int = 800) -> DataFrame:
-    """For each group and rule ``<rule>_hi`` (and ``_lo``), from KLL sketches.
+    """For each group its ``rows``, and for each rule ``<rule>_hi`` (and ``_lo``), from KLL sketches.
 
     The word length's fences lie beyond the quartiles of the group.  The shares'
     come from the tails of the documents within these, since junk that stands
@@ -134,8 +125,13 @@ def fences(measured: DataFrame, groups: list[str], space: Workspace, *, reach: f
     both_sides = [r for r in RULES if RULES[r][2]]
     tails = [r for r in RULES if not RULES[r][2]]
     first = space.save(_limits(measured, groups, both_sides, reach=reach, k=k), "fences")
-    usual = _beside(measured, first, groups).filter(_inside(both_sides))
-    return _beside(first, space.save(_limits(usual, groups, tails, reach=reach, k=k), "tails"), groups)
+    usual = join_by_key(measured, first, groups, "rows").filter(_inside(both_sides))
+    last = space.save(_limits(usual, groups, tails, reach=reach, k=k, rows="usual_rows"), "tails")
+    named = last.select(*[F.col(g).alias(f"{g}2") for g in groups], *[c for c in last.columns if c not in (*groups, "usual_rows")])
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}2"))
+    return space.save(first.join(named, same, "left").drop(*[f"{g}2" for g in groups]), "limits")
 
 
 def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None, reach: float = 3.0) -> DataFrame:
@@ -169,15 +165,8 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     )
     rows = space.save(measured, "measured")
     groups = ["__lang", "__source"]
-    both = _beside(rows, fences(rows.filter(~F.col("base_failed")), groups, space, reach=reach), groups)
-    return both.select(
-        *[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)],
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        (~F.col("base_failed") & _inside(list(RULES))).alias("kept"),
-        *RULES,
-    )
+    passed = rows.filter(~F.col("base_failed"))
+    judged = join_by_key(passed, fences(passed, groups, space, reach=reach), groups, "rows").withColumn("kept", _inside(list(RULES)))
+    columns = [*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RULES]
+    both = judged.select(*columns).unionByName(rows.filter("base_failed").withColumn("kept", F.lit(False)).select(*columns))
+    return both.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)], *columns[len(names) :])

@@ -69,35 +69,62 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ",")
 
 
-def next_in_order(docs: DataFrame, key: str, carried: list[str], *, rows_per_bucket: int = 4096, max_buckets: int = 65_536) -> DataFrame:
-    """Each row with the carried columns of the next one in descending order of ``key`` (after the last: the first), as ``next_<column>``.
-
-    Rows are dealt to buckets by ranges of the key.  The row that a bucket's last
-    one needs, the greatest of the next bucket, is copied into it beforehand, so
-    one exchange of the rows does.  The copies' keys are broadcast: max_buckets
-    of them at most.  Null keys come last.  Rows of equal keys follow one another
-    in the order of the carried columns.  A row that is alone is its own next.
+def _buckets(place: Column, bounds: Column) -> Column:
+    """How many of the bounds (an array of arrays, each begun by a bound that opens it) are not over a place: two short searches."""
+    outer = F.size(F.filter(bounds, lambda part: F.get(part, F.lit(0)) <= place))
+    inner = F.get(bounds, outer - 1)
+    full = F.aggregate(F.slice(bounds, F.lit(1), F.greatest(outer - 1, F.lit(0))), F.lit(0), lambda n, part: n + F.size(part))
+    return F.when(outer > 0, full + F.size(F.filter(inner, lambda b: b <= place))).otherwise(F.lit(0))
+
+
+def next_in_order(docs: DataFrame, key: str, carried: list[str], *, rows_per_bucket: int = 4096, max_buckets: int = 65_536, samples: int = 16) -> DataFrame:
+    """Each row with the carried columns of the next one in descending order of ``key`` (after the last: the first), as ``next_<column>``; and its bucket.
+
+    Rows are dealt to buckets of about ``rows_per_bucket``, by bounds out of a
+    sample by hash (``samples`` to a bucket), whatever the values of the keys.
+    The row that a bucket's last one needs, the first of the next bucket, is
+    copied into it beforehand, so one exchange of the rows does.  The copies'
+    places are broadcast: max_buckets of them at most.
+
+    Null keys come last.  Rows of equal keys follow one another in the order of
+    a hash of the first carried column, then of the carried columns; so rows of
+    one key, null too, go to many buckets as well, unless that column is equal,
+    too.  A row that is alone is its own next.
     """
-    keys = docs.select(F.col(key).cast("long").alias("k"))
-    seen = keys.agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("n")).first()
-    low, high = (seen["low"], seen["high"]) if seen["low"] is not None else (0, 0)
-    buckets = max(2, min(max_buckets, max(shuffle_partitions(docs.sparkSession), math.ceil(seen["n"] / rows_per_bucket))))
-    width = (high - low) // buckets + 1
-    bucket = lambda c: F.coalesce(F.floor((c.cast("decimal(20,0)") - low) / width).cast("long"), F.lit(-1).cast("long"))
-    tops = keys.select("k", bucket(F.col("k")).alias("b")).groupBy("b").agg(F.max("k").alias("k")).orderBy("b").collect()  # max_buckets + 1 rows at most
-    copies = [(tops[i]["b"], tops[i - 1]["k"]) for i in range(len(tops))]  # the lowest bucket gets the greatest key
-    ghosts = docs.sparkSession.createDataFrame(copies, "b long, k long")
     rows = docs.select(F.col(key).cast("long").alias("__key"), *[F.col(c).alias(f"__v{i}") for i, c in enumerate(carried)])
-    into = F.broadcast(ghosts.groupBy("k").agg(F.collect_list("b").alias("into")))
-    there = rows.join(into, F.col("__key").eqNullSafe(F.col("k")), "left")
-    own = F.array(F.struct(bucket(F.col("__key")).alias("b"), F.lit(0).alias("copy")))
+    # ascending: descending keys, nulls last, then the hash
+    place = F.struct(F.col("__key").isNull().alias("none"), F.coalesce(F.bitwise_not("__key"), F.lit(0).cast("long")).alias("down"), F.xxhash64("__v0").alias("hash"))
+    shape = "none boolean, down bigint, hash bigint"
+    placed = rows.withColumn("__place", place)
+    places = docs.select(F.col(key).cast("long").alias("__key"), F.col(carried[0]).alias("__v0")).select(place.alias("place"))
+    n = docs.count()
+    buckets = max(2, min(max_buckets, max(shuffle_partitions(docs.sparkSession), math.ceil(n / rows_per_bucket))))
+    drawn = places.filter(F.pmod(F.xxhash64("place"), F.lit(max(1, n // (samples * buckets)))) == 0).groupBy("place").count().collect()  # about samples * max_buckets
+    drawn = sorted((r["place"]["none"], r["place"]["down"], r["place"]["hash"], r["count"]) for r in drawn)
+    bounds, held, each = [], 0, sum(r[3] for r in drawn) / buckets
+    for none, down, hash_, count in drawn:
+        if held >= each:
+            bounds.append((none, down, hash_))
+            held = 0
+        held += count
+    width = max(1, math.isqrt(len(bounds)))
+    parts = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    spark = docs.sparkSession
+    sent = F.broadcast(spark.createDataFrame([(parts,)], f"bounds array<array<struct<{shape.replace(' ', ':').replace(',:', ',')}>>>"))
+    bucket = _buckets(F.col("place"), F.col("bounds"))
+    tops = places.crossJoin(sent).groupBy(bucket.alias("b")).agg(F.min("place").alias("place")).orderBy("b").collect()  # max_buckets rows at most
+    copies = [(tops[i - 1]["b"], *tops[i]["place"]) for i in range(len(tops))]  # the last bucket gets the first row
+    ghosts = spark.createDataFrame(copies, f"b int, {shape}").groupBy(F.struct("none", "down", "hash").alias("place")).agg(F.collect_list("b").alias("into"))
+    values = [f"__v{i}" for i in range(len(carried))]
+    there = placed.crossJoin(sent).withColumn("__b", _buckets(F.col("__place"), F.col("bounds"))).join(F.broadcast(ghosts), F.col("__place") == F.col("place"), "left")
+    own = F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("copy")))
     also = F.transform("into", lambda b: F.struct(b.alias("b"), F.lit(1).alias("copy")))
-    dealt = there.select("__key", *[f"__v{i}" for i in range(len(carried))], F.explode(F.when(F.col("into").isNull(), own).otherwise(F.concat(own, also))).alias("__to"))
-    dealt = dealt.select("__key", *[f"__v{i}" for i in range(len(carried))], "__to.b", "__to.copy")
-    order = Window.partitionBy("b").orderBy("copy", F.col("__key").desc_nulls_last(), *[f"__v{i}" for i in range(len(carried))])
-    after = dealt.select("*", *[F.lead(f"__v{i}").over(order).alias(f"__n{i}") for i in range(len(carried))])
+    dealt = there.select("__key", "__place", *values, F.explode(F.when(F.col("into").isNull(), own).otherwise(F.concat(own, also))).alias("__to"))
+    dealt = dealt.select("__key", "__place", *values, "__to.b", "__to.copy")
+    order = Window.partitionBy("b").orderBy("copy", "__place", *values)
+    after = dealt.select("*", *[F.lead(v).over(order).alias(f"__n{i}") for i, v in enumerate(values)])
     return after.filter(F.col("copy") == 0).select(
-        F.col("__key").alias(key), *[F.col(f"__v{i}").alias(c) for i, c in enumerate(carried)], *[F.col(f"__n{i}").alias(f"next_{c}") for i, c in enumerate(carried)]
+        F.col("__key").alias(key), *[F.col(f"__v{i}").alias(c) for i, c in enumerate(carried)], *[F.col(f"__n{i}").alias(f"next_{c}") for i, c in enumerate(carried)], F.col("b").alias("bucket")
     )
 
 
@@ -114,8 +141,8 @@ def fingerprints(docs: DataFrame, *, size: int = 5, scale: int = 2, whole: int =
     sketch, both at 1/``scale`` if only one text has ``whole`` different shingles or
     fewer, which are all kept; where both texts are equal it is 1, and else 0 if either sketch is empty.
 
-    Null texts are empty ones.  Null ids come last in the order.  Repeated rows
-    follow one another.  An empty table gives no rows.  Other columns are not read.
+    Null texts are empty ones.  Null ids come last in the order.  Rows of equal ids
+    follow one another, by a hash of their texts.  An empty table gives no rows.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = with_sketch(rows, F.col("text"), "sketch", size=size, scale=scale, whole=whole, flag="whole")

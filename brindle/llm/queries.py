@@ -61,7 +61,8 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archive(spark, _table(spark, sf_dir, "pages"), min_bytes=0)
     records = warc.read_archive(spark, path)
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    record = [F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256")]
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *record)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,20 +79,38 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS html FROM pages
+  SELECT page_id, url, coalesce(html, '') AS html, chr(13) || chr(10) AS eol FROM pages
 ), d AS (
-  SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex,
+  SELECT page_id, url, html, eol, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex,
          min(page_id) OVER (PARTITION BY html) AS first_id
   FROM p
-)
-SELECT page_id, payload_bytes,
+), k AS (
+  SELECT *, page_id = first_id AS is_first,
        list_aggregate(list_transform(generate_series(0, 31), lambda i:
          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                 ((('0x' || substr(hex, ((i // 4) * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1, 1)),
          'string_agg', '') AS payload_digest,
-       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
-FROM d
+       'HTTP/1.1 200 OK' || eol || 'Content-Type: text/html; charset=UTF-8' || eol || 'Content-Length: ' || payload_bytes || eol || eol AS http
+  FROM d
+), r AS (
+  SELECT *, 'WARC/1.1' || eol
+    || 'WARC-Type: ' || CASE WHEN is_first THEN 'response' ELSE 'revisit' END || eol
+    || 'WARC-Record-ID: <urn:page:' || page_id || '>' || eol
+    || coalesce('WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || eol, '')
+    || 'WARC-Date: 1970-01-01T00:00:00Z' || eol
+    || 'WARC-Payload-Digest: sha1:' || payload_digest || eol
+    || CASE WHEN is_first THEN '' ELSE 'WARC-Refers-To: <urn:page:' || first_id || '>' || eol
+         || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || eol END
+    || 'Content-Type: application/http; msgtype=response' || eol
+    || 'Content-Length: ' || (octet_length(encode(http)) + CASE WHEN is_first THEN payload_bytes ELSE 0 END) || eol || eol
+    || http || CASE WHEN is_first THEN html ELSE '' END || eol || eol AS record
+  FROM k
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN is_first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN is_first THEN NULL ELSE first_id END AS refers_to,
+       octet_length(encode(record))::BIGINT AS record_bytes, sha256(record) AS record_sha256
+FROM r
 """
 
 OP10_SQL = r"""

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, join_by_key
 
 # The alphabet of base32, and the line end of record headers.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -52,7 +52,7 @@ def write_archive(
 ) -> str:
     """Write a record for each row; returns the archive's folder.
 
-    payloads: address (SHA-256, lower-case hex), payload; each once.
+    payloads: address (SHA-256, lower-case hex), payload, records (how many name it); each once.
     headers: page_id, address, head (the record's exact header bytes, as text).
 
     Of the records with equal payloads of ``min_bytes`` bytes at least, those
@@ -70,13 +70,13 @@ def write_archive(
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     digests = rows.select("page_id", "url", F.sha2("payload", 256).alias("address"), base32_of_hex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
     groups = digests.groupBy("address").agg(
-        F.min("page_id").alias("first_id"), F.min("sha1").alias("low"), F.max("sha1").alias("high"), F.min("bytes").alias("least"), F.max("bytes").alias("most")
+        F.count("*").alias("records"), F.min("page_id").alias("first_id"), F.min("sha1").alias("low"), F.max("sha1").alias("high"), F.min("bytes").alias("least"), F.max("bytes").alias("most")
     )
     sure = F.when((F.col("low") == F.col("high")) & (F.col("least") == F.col("most")), F.col("address")).otherwise(
         F.raise_error(F.concat(F.lit("two payloads have the address "), F.col("address")))
     )
-    space.save(rows.select(F.sha2("payload", 256).alias("address"), "payload").groupBy("address").agg(F.first("payload").alias("payload")), "payloads")
-    own = digests.join(groups.select(sure.alias("address"), "first_id"), "address")
+    space.save(rows.select(F.sha2("payload", 256).alias("address"), "payload").groupBy("address").agg(F.first("payload").alias("payload"), F.count("*").alias("records")), "payloads")
+    own = join_by_key(digests, space.save(groups.select(sure.alias("address"), "first_id", "records"), "groups"), ["address"], "records")
     response = (F.col("bytes") < min_bytes) | F.col("page_id").eqNullSafe(F.col("first_id"))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF)
@@ -101,33 +101,39 @@ def write_archive(
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Rebuild the records: page_id, record_type, refers_to, digest, payload_bytes, payload_digest, record, payload.
+    """Rebuild the records: page_id, record_type, refers_to, payload_bytes, payload_digest, record.
 
-    ``record`` holds the exact bytes of the original record.  digest is what the
-    header says; payload_bytes and payload_digest come from the stored bytes,
-    whose SHA-256 must be their address: else this raises.
+    ``record`` holds the exact bytes of the original record: its header and, of
+    a response, the payload, which a join brings; payload_bytes and
+    payload_digest come from the stored bytes.  This raises where the SHA-256 of
+    these isn't their address, or a header's digest or length isn't that of its
+    payload.
     """
+    wrong = lambda what: F.raise_error(F.concat(F.lit(f"{what} "), F.col("address")))
     stored = spark.read.parquet(f"{path}/payloads")
-    true = F.when(F.sha2("payload", 256) == F.col("address"), F.col("address")).otherwise(
-        F.raise_error(F.concat(F.lit("payload differs from its address "), F.col("address")))
-    )
-    checked = stored.select(
-        true.alias("address"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest")
-    )
+    true = F.when(F.sha2("payload", 256) == F.col("address"), F.col("address")).otherwise(wrong("payload differs from its address"))
+    about = stored.select(true.alias("address"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"), "records")
+    about = Workspace(spark, "payload_digests").save(about, "about")
     heads = spark.read.parquet(f"{path}/headers")
     said = lambda pattern: F.regexp_extract("head", pattern, 1)
     kind, refers = said(r"(?m)^WARC-Type: (\w+)$"), said(r"(?m)^WARC-Refers-To: <urn:page:(-?\d+)>$")
     parsed = heads.select(
-        "page_id", "address", "head", kind.alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"), said(r"(?m)^WARC-Payload-Digest: sha1:(\w+)$").alias("digest")
-    )
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")
-    return parsed.join(checked, "address").select(
         "page_id",
-        "record_type",
-        "refers_to",
-        "digest",
-        "payload_bytes",
-        "payload_digest",
-        F.concat("head", body, F.lit(CRLF + CRLF)).cast("binary").alias("record"),
-        "payload",
+        "address",
+        "head",
+        kind.alias("record_type"),
+        F.when(refers != "", refers.cast("long")).alias("refers_to"),
+        said(r"(?m)^WARC-Payload-Digest: sha1:(\w+)$").alias("digest"),
+        said(r"\nContent-Length: (\d+)\r\n\r\n").cast("long").alias("length"),
+        F.octet_length(F.substring_index("head", CRLF + CRLF, -2)).alias("http"),
     )
+    # a page may share its payload with any share of the others, but the payload itself comes to responses only
+    known = join_by_key(parsed, about, ["address"], "records")
+    is_response = F.col("record_type") == "response"
+    length = F.col("http") + F.when(is_response, F.col("payload_bytes")).otherwise(0)
+    sure = F.when((F.col("digest") == F.col("payload_digest")) & (F.col("length") == length), F.col("head")).otherwise(wrong("a header differs from its payload"))
+    fields = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
+    checked = known.select(*fields, "address", sure.alias("head"))
+    responses = checked.filter(is_response).join(stored.select("address", "payload"), "address")
+    revisits = checked.filter(~is_response).withColumn("payload", F.lit(""))
+    return responses.unionByName(revisits).select(*fields, F.concat("head", "payload", F.lit(CRLF + CRLF)).cast("binary").alias("record"))

@@ -150,6 +150,68 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, order) -> DataFram
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, least long, band long, prefix array<long>")
 
 
+def _matrix(groups: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """Rows (token, gid, node, n, reach, spread) of the shingles of several groups, from rows (node, n, gid, prefix).
+
+    Two sets that reach the threshold share num * (n + n2) / (num + den) shingles
+    at least, and the first of these in the order leaves room for the others
+    behind it in both: reach = den * n - (num + den) * place is num * n2 at
+    least, both ways round.  Rows that can't be that first one with any other
+    row of their shingle are left out.
+
+    Entries shuffle as arrays, one for each part of the shingles and batch.
+    """
+    kinds = "token array<long>, gid array<long>, node array<long>, n array<long>, place array<int>"
+    names = [k.split()[0] for k in kinds.split(", ")]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            node, n, gid = (batch.column(i).to_numpy() for i in range(3))
+            lists = batch.column(3)
+            token, count = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            place = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+            part = (token.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            own, first = np.unique(part[order], return_index=True)
+            cuts = np.append(first, len(token)).astype(np.int32)
+            columns = [token, np.repeat(gid, count), np.repeat(node, count), np.repeat(n, count), place.astype(np.int32)]
+            if len(own):
+                yield pa.record_batch([pa.array(own, pa.int64()), *[pa.ListArray.from_arrays(cuts, pa.array(c[order])) for c in columns]], names=["part", *names])
+        release()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            token, gid, node, n, place = (np.concatenate([h[i] for h in held]) for i in range(5))
+            held.clear()
+            order = np.argsort(token, kind="stable")
+            token, gid, node, n, place = (c[order] for c in (token, gid, node, n, place))
+            reach = den * n - (num + den) * place.astype(np.int64)
+            first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            spread = np.diff(np.append(first, len(token)))
+            several = np.minimum.reduceat(gid, first) != np.maximum.reduceat(gid, first)
+            whole = lambda x: np.repeat(x, spread)
+            keep = whole(several) & (reach >= num * whole(np.minimum.reduceat(n, first))) & (whole(np.maximum.reduceat(reach, first)) >= num * n)
+            columns = [c[keep] for c in (token, gid, node, n, reach, whole(spread))]
+            for at in range(0, len(columns[0]), 50_000):
+                yield pa.record_batch([pa.array(c[at : at + 50_000], pa.int64()) for c in columns], names=["token", "gid", "node", "n", "reach", "spread"])
+
+        for batch in batches:
+            lists = [batch.column(i) for i in range(1, 6)]
+            for row, part in enumerate(batch.column(0).to_pylist()):
+                if held and part != now:
+                    yield from out()
+                now = part
+                held.append([x[row].values.to_numpy() for x in lists])
+        if held:
+            yield from out()
+        release()
+
+    dealt = groups.mapInArrow(deal, f"part long, {kinds}").repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, "token long, gid long, node long, n long, reach long, spread long")
+
+
 class Group:
     """A group of the matrix: the union of its members' shingles, and who holds each."""
 
@@ -287,7 +349,7 @@ def link_documents(
     frequent_tokens: int = 500_000,
     frequent_in_task: int = 2,
     common_rows: int = 8,
-    hub_rounds: int = 2,
+    hub_rounds: int = 5,
     send_rows: int = 500_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -333,15 +395,7 @@ def link_documents(
         groups = held.join(sent(crowd, send_rows), ["least", "band"], "left").select(
             "node", "n", F.xxhash64("least", "band", F.coalesce(share, F.lit(0).cast("long"))).alias("gid"), "prefix"
         )
-        # Two sets share num * (n + n2) / (num + den) shingles at least, and of these the first in the order
-        # leaves room for the others behind it in both: den * n - (num + den) * place >= num * n2, both ways round.
-        reach = (F.lit(den) * F.col("n").cast("long") - F.lit(num + den) * F.col("at")).cast("long")
-        placed = groups.select(F.posexplode("prefix").alias("at", "token"), "gid", "node", F.col("n").cast("int").alias("n")).select("token", "gid", "node", "n", reach.alias("reach"))
-        matrix = placed.repartition(shuffle_partitions(spark), "token")
-        held_by = matrix.groupBy("token").agg(F.count("*").alias("spread"), F.min("gid").alias("first"), F.max("gid").alias("last"), F.min("n").alias("least"), F.max("reach").alias("most"))
-        held_by = held_by.filter("first <> last").select("token", "spread", "least", "most")
-        met = matrix.join(held_by.hint("shuffle_hash"), "token").filter((F.col("reach") >= F.lit(num) * F.col("least")) & (F.col("most") >= F.lit(num) * F.col("n")))
-        meet = space.save(met.select("token", "gid", "node", "n", "reach", "spread"), f"meet{turn}")
+        meet = space.save(_matrix(groups.select("node", "n", "gid", "prefix"), shuffle_partitions(spark), num, den), f"meet{turn}")
         more, times = _frequent(meet.filter(F.col("spread") >= common_rows).groupBy("token").agg(F.max("spread").alias("count")), frequent_tokens)
         new = ~np.isin(more, tokens)
         if turn or times[new].sum() < 0.1 * meet.count():  # a better order would save little
@@ -402,7 +456,7 @@ def link_documents(
         if turn:
             hubs = space.save(hubs, f"hubs{turn}")
             work = hubs.agg(F.coalesce(F.sum(F.col("others") * F.col("gids")), F.lit(0)).alias("all"), F.coalesce(F.sum("others"), F.lit(0)).alias("round")).first()
-            if work["all"] <= 8 * work["round"]:  # all that is left costs little more than another round
+            if work["all"] <= 2 * work["round"]:  # all that is left costs little more than another round
                 break
         asked = entries.join(hubs, F.col("token") == F.col("of")).filter(may_link)
         asked = (asked.filter(F.col("root") != F.col("main")) if turn else asked).select("target", "node").distinct().join(asked_before, ["target", "node"], "left_anti")

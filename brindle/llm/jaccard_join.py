@@ -150,8 +150,60 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, order) -> DataFram
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, least long, band long, prefix array<long>")
 
 
+def _spreads(held: DataFrame, parts: int, least: int) -> DataFrame:
+    """token, count of the shingles that ``least`` prefixes or more hold.  Only shingles shuffle, as arrays."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            token = np.sort(batch.column(0).flatten().to_numpy())
+            part = (token.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            own, first = np.unique(part[order], return_index=True)
+            if len(own):
+                cuts = np.append(first, len(token)).astype(np.int32)
+                yield pa.record_batch([pa.array(own, pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(token[order]))], names=["part", "token"])
+        release()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, now = [], None
+
+        def out() -> pa.RecordBatch:
+            token, times = np.unique(np.concatenate(lists), return_counts=True)
+            lists.clear()
+            often = times >= least
+            return pa.record_batch([pa.array(token[often], pa.int64()), pa.array(times[often], pa.int64())], names=["token", "count"])
+
+        for batch in batches:
+            for row, part in enumerate(batch.column(0).to_pylist()):
+                if lists and part != now:
+                    yield out()
+                now = part
+                lists.append(batch.column(1)[row].values.to_numpy())
+        if lists:
+            yield out()
+        release()
+
+    dealt = held.select("prefix").mapInArrow(deal, "part long, token array<long>").repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(count, "token long, count long")
+
+
+def _holders(held: DataFrame, tokens) -> DataFrame:
+    """node of the documents whose prefix holds one of the broadcast ``tokens``, sorted ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = tokens.value
+        for batch in batches:
+            lists = batch.column(1)
+            token, count = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            at = np.minimum(np.searchsorted(wanted, token), len(wanted) - 1)
+            rows = np.unique(np.repeat(np.arange(batch.num_rows), count)[wanted[at] == token])
+            yield pa.record_batch([batch.column(0).take(pa.array(rows))], names=["node"])
+
+    return held.select("node", "prefix").mapInArrow(run, "node long").distinct()
+
+
 def _matrix(groups: DataFrame, parts: int, num: int, den: int) -> DataFrame:
-    """Rows (token, gid, node, n, reach, spread) of the shingles of several groups, from rows (node, n, gid, prefix).
+    """Rows (token, gid, node, n, reach) of the shingles of several groups, from rows (node, n, gid, prefix).
 
     Two sets that reach the threshold share num * (n + n2) / (num + den) shingles
     at least, and the first of these in the order leaves room for the others
@@ -193,9 +245,9 @@ def _matrix(groups: DataFrame, parts: int, num: int, den: int) -> DataFrame:
             several = np.minimum.reduceat(gid, first) != np.maximum.reduceat(gid, first)
             whole = lambda x: np.repeat(x, spread)
             keep = whole(several) & (reach >= num * whole(np.minimum.reduceat(n, first))) & (whole(np.maximum.reduceat(reach, first)) >= num * n)
-            columns = [c[keep] for c in (token, gid, node, n, reach, whole(spread))]
+            columns = [c[keep] for c in (token, gid, node, n, reach)]
             for at in range(0, len(columns[0]), 50_000):
-                yield pa.record_batch([pa.array(c[at : at + 50_000], pa.int64()) for c in columns], names=["token", "gid", "node", "n", "reach", "spread"])
+                yield pa.record_batch([pa.array(c[at : at + 50_000], pa.int64()) for c in columns], names=["token", "gid", "node", "n", "reach"])
 
         for batch in batches:
             lists = [batch.column(i) for i in range(1, 6)]
@@ -209,7 +261,7 @@ def _matrix(groups: DataFrame, parts: int, num: int, den: int) -> DataFrame:
         release()
 
     dealt = groups.mapInArrow(deal, f"part long, {kinds}").repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "token long, gid long, node long, n long, reach long, spread long")
+    return dealt.mapInArrow(meet, "token long, gid long, node long, n long, reach long")
 
 
 class Group:
@@ -319,13 +371,15 @@ def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy().astype(np.int64)
 
 
-def _representatives(rows: DataFrame, digests: DataFrame, classes: DataFrame, most: int):
+def _representatives(space: Workspace, digests: DataFrame, classes: DataFrame, most: int):
     """A function that keeps one row of each class, as ``node``, of rows (doc_id, sig, ...)."""
     others = digests.filter("n > 0").join(classes, "sig").filter("doc_id is null or doc_id <> node").select(F.col("doc_id").alias("id2"), F.col("sig").alias("sig2"))
+    others = space.save(others, "others")
+    few = others.limit(most + 1).count() <= most
     again = digests.filter("n > 0").groupBy("doc_id", "sig").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
 
     def keep(df: DataFrame) -> DataFrame:
-        if others.limit(most + 1).count() <= most:
+        if few:
             same = df["doc_id"].eqNullSafe(F.col("id2")) & (df["sig"] == F.col("sig2"))
             kept = df.join(F.broadcast(others), same, "left_anti")
         else:
@@ -363,12 +417,12 @@ def link_documents(
 
     group_members, group_shingles: a group is split at about so many documents,
     or shingles of all together.  group_askers: a group has a copy for about so
-    many that ask it.  frequent_tokens bounds the frequency list that is sent to
-    tasks.  frequent_in_task, common_rows:
-    from how many documents of a task, or prefixes of the corpus, a shingle counts
-    as frequent.  hub_rounds: so often, at most, hubs are asked before all that is
-    left is compared.  send_rows: tables of ids are broadcast up to so many rows, and
-    joined by a shuffle beyond.  These change the work, never the result.
+    many that ask it.  frequent_tokens bounds each of the two frequency lists that
+    are sent to tasks: what is frequent within tasks, from frequent_in_task
+    documents on, and what else is in the corpus' prefixes, from common_rows on.
+    hub_rounds: so often, at most, hubs are asked before all that is left is
+    compared.  send_rows: tables of ids are broadcast up to so many rows, and joined
+    by a shuffle beyond.  These change the work, never the result.
 
     Null, empty and blank texts have no shingles, link with nothing and are
     components of their own.  Rows with equal ids are one document: what either
@@ -382,32 +436,32 @@ def link_documents(
     digests = first.filter(F.col("n").isNotNull()).select("doc_id", "n", "sig")
     classes = space.save(digests.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("node")), "classes")
 
-    # prefixes of one document of each class; once more if shingles turn out frequent that no task could know
-    reps = _representatives(rows, digests, classes, send_rows)
+    # prefixes of one document of each class; once more for those that hold shingles that no task could know as frequent
+    reps = _representatives(space, digests, classes, send_rows)
     counts = first.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("count"))
     tokens, often = _frequent(counts, frequent_tokens)
-    for turn in range(2):
-        order = spark.sparkContext.broadcast((tokens, often))
-        held = space.save(reps(_prefixes(rows, size, num, den, order)), f"prefixes{turn}")
-        parts = F.greatest(F.ceil(F.count("*") / group_members), F.ceil(F.sum("n") / group_shingles)).alias("parts")
-        crowd = held.groupBy("least", "band").agg(parts).filter("parts > 1")
-        share = F.pmod(F.xxhash64("node"), F.col("parts"))
-        groups = held.join(sent(crowd, send_rows), ["least", "band"], "left").select(
-            "node", "n", F.xxhash64("least", "band", F.coalesce(share, F.lit(0).cast("long"))).alias("gid"), "prefix"
-        )
-        meet = space.save(_matrix(groups.select("node", "n", "gid", "prefix"), shuffle_partitions(spark), num, den), f"meet{turn}")
-        more, times = _frequent(meet.filter(F.col("spread") >= common_rows).groupBy("token").agg(F.max("spread").alias("count")), frequent_tokens)
-        new = ~np.isin(more, tokens)
-        if turn or times[new].sum() < 0.1 * meet.count():  # a better order would save little
-            break
-        keep = np.argsort(-np.concatenate([often, times[new]]), kind="stable")[:frequent_tokens]
-        tokens, often = np.concatenate([tokens, more[new]])[keep], np.concatenate([often, times[new]])[keep]
-        space.drop(f"prefixes{turn}")
-        space.drop(f"meet{turn}")
+    held = space.save(reps(_prefixes(rows, size, num, den, spark.sparkContext.broadcast((tokens, often)))), "prefixes")
+    more, times = _frequent(_spreads(held, shuffle_partitions(spark), common_rows), frequent_tokens)
+    new = ~np.isin(more, tokens)
+    if new.any():
+        # all that is new moves behind in the order, so prefixes without it stay as they are
+        order = spark.sparkContext.broadcast((np.concatenate([tokens, more[new]]), np.concatenate([often, times[new]])))
+        moved = space.save(_holders(held, spark.sparkContext.broadcast(np.sort(more[new].view(np.int64)))), "moved")
+        moved = sent(moved.withColumnRenamed("node", "moved"), send_rows)
+        again = rows.join(moved, F.col("doc_id") == F.col("moved"), "left_semi")
+        held = space.save(held.join(moved, F.col("node") == F.col("moved"), "left_anti").union(reps(_prefixes(again, size, num, den, order))), "placed")
+        space.drop("prefixes")
+
+    parts = F.greatest(F.ceil(F.count("*") / group_members), F.ceil(F.sum("n") / group_shingles)).alias("parts")
+    crowd = held.groupBy("least", "band").agg(parts).filter("parts > 1")
+    share = F.pmod(F.xxhash64("node"), F.col("parts"))
+    groups = held.join(sent(crowd, send_rows), ["least", "band"], "left").select(
+        "node", "n", F.xxhash64("least", "band", F.coalesce(share, F.lit(0).cast("long"))).alias("gid"), "prefix"
+    )
+    meet = space.save(_matrix(groups.select("node", "n", "gid", "prefix"), shuffle_partitions(spark), num, den), "meet")
 
     members = space.save(groups.select("gid", "node"), "members")
     sizes = space.save(members.groupBy("gid").agg(F.count("*").alias("n")), "sizes")
-    meet = meet.select("token", "gid", "node", "n", "reach")
 
     def compare(asked: DataFrame, inside: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Links of rows (target, node) with the groups they ask, and within the groups ``inside`` (target); and these rows, stored."""

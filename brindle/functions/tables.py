@@ -9,6 +9,8 @@ and is the one to use on large tables.
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -17,22 +19,28 @@ from pyspark.sql.functions import udtf
 from .chunking import BREAKS, ZONE
 
 
+@functools.lru_cache(maxsize=8)
+def window_pattern(size: int) -> re.Pattern:
+    """One window: all that is left if it fits, else up to the last break of the best kind in the last part, else ``size`` characters."""
+    if size < 1:
+        raise ValueError("a chunk has a character at least")
+    skip = int(size * ZONE)
+    breaks = [f".{{{skip},{size - len(b)}}}{re.escape(b)}" for b in BREAKS if size - len(b) >= skip]
+    return re.compile("|".join([rf".{{1,{size}}}\Z", *breaks, f".{{{size}}}"]), re.DOTALL)
+
+
 class ChunkText:
-    """Rows (chunk_index, start_char, end_char, content) of one text."""
+    """Rows (chunk_index, start_char, end_char, content) of one text; blank windows take no index."""
 
     def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, int, int, str]]:
-        start, index, n = 0, 0, len(text or "")
-        while start < n:
-            end = min(start + size, n)
-            if end < n:
-                low = start + int(size * ZONE)
-                found = [text.rfind(b, low, end) + len(b) for b in BREAKS if text.rfind(b, low, end) >= 0]
-                end = found[0] if found else end
-            content = text[start:end].strip()
-            if content:
-                yield index, start, end, content
+        one, at, index = window_pattern(size), 0, 0
+        while window := one.match(text or "", at):
+            if content := window[0].strip():
+                yield index, *window.span(), content
                 index += 1
-            start = end - overlap if end - overlap > start else end
+            at = max(window.end() - overlap, 0)
+            if at <= window.start():
+                at = window.end()
 
 
 def register(spark: SparkSession) -> None:

@@ -1,7 +1,7 @@
 """BM25 over an inverted index.
 
 postings(id, term, tf, dl) is the index; term and corpus statistics follow from
-it.  A search touches the postings of its terms only, whatever the corpus holds.
+it.  A search scans the postings and scores those of its terms only.
 """
 
 from __future__ import annotations

@@ -80,3 +80,30 @@ def test_table_function(spark):
     df.createOrReplaceTempView("chunk_texts")
     got = spark.sql("SELECT d.id, c.chunk_index, c.start_char, c.end_char, c.content FROM chunk_texts d, LATERAL chunk_text(d.text, 1000, 200) c")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chunks(df, "text").collect()))
+
+
+def test_long_text_in_linear_time(spark):
+    import random
+    import time
+
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("abcdé😀") for _ in range(rng.randint(2, 9))) + rng.choice(["", "", ".", "\n", "\n\n"]) for _ in range(330_000))
+    took = {}
+    for n in (1_000_000, 2_000_000, 1_000_000, 2_000_000):  # the first two warm up
+        df = spark.createDataFrame([(1, text[:n])], "id int, text string").cache()
+        df.count()
+        began = time.perf_counter()
+        rows = chunks(df, "text").select("start_char", "end_char", "content").collect()
+        took[n] = time.perf_counter() - began
+    assert took[2_000_000] < 3 * took[1_000_000] + 1
+    spans = plain(text[:2_000_000])
+    assert [(r[0], r[1], r[2]) for r in rows] == [(a, b, text[a:b].strip()) for a, b in spans if text[a:b].strip()]
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(100, 79), (100, 80), (100, 81), (100, 99), (100, 120), (5, 4), (3, 1), (2, 1)])
+def test_large_overlaps(spark, size, overlap):
+    texts = ["x" * 333, "a b. c\n\nd " * 60, "word. " * 50 + "\n" + "z" * 99, "\n" * 120, "é. " * 41]
+    assert offsets(spark, texts, size, overlap) == [plain(t, size, overlap) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = [(r["i"], r["start_char"], r["end_char"], r["content"]) for r in chunks(df, "t", size, overlap).orderBy("i", "chunk_index").collect()]
+    assert rows == [(i, a, b, t[a:b].strip()) for i, t in enumerate(texts) for a, b in plain(t, size, overlap) if t[a:b].strip()]

@@ -51,6 +51,8 @@ class EngineConfig:
 
     root: folder of the index tables.  documents: folder of the files to index.
     filter_scope: "semantic" filters the vector leg only, "both" the keyword leg too.
+    vector_search: "exact" measures all vectors, "approximate" those of the
+    ``probes`` lists nearest to the query.
     """
 
     root: str = "index"
@@ -66,6 +68,8 @@ class EngineConfig:
     embedding_model: str = EMBEDDING_MODEL
     embedding_dim: int = EMBEDDING_DIM
     filter_scope: str = "semantic"
+    vector_search: str = "exact"
+    probes: int = 12
 
     def __post_init__(self) -> None:
         # 0 stands for the default, as in an unset option
@@ -75,6 +79,8 @@ class EngineConfig:
             raise ValueError("chunk_size must be positive and chunk_overlap not negative")
         if self.filter_scope not in ("semantic", "both"):
             raise ValueError("filter_scope is semantic or both")
+        if self.vector_search not in ("exact", "approximate") or self.probes < 1:
+            raise ValueError("vector_search is exact or approximate, with a probe at least")
 
     @property
     def categories(self) -> list[str]:

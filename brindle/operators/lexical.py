@@ -1,12 +1,14 @@
 """BM25 over an inverted index.
 
 postings(id, term, tf, dl) is the index; term and corpus statistics follow from
-it.  A search scans the postings and scores those of its terms only.
+it.  A search here scans the postings and scores those of its terms only;
+:mod:`brindle.operators.postings` stores them so that it need not.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -59,8 +61,8 @@ def _raw_idf(n_docs: int) -> Column:
     return F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
-def mean_idf(frequency: DataFrame, n_docs: int) -> float:
-    """The mean over the whole vocabulary, negative ones included."""
+def mean_idf(frequency: DataFrame, n_docs: int) -> float | None:
+    """The mean over the whole vocabulary, negative ones included; null without terms."""
     return frequency.agg(F.avg(_raw_idf(n_docs))).first()[0]
 
 
@@ -70,12 +72,17 @@ def term_stats(frequency: DataFrame, n_docs: int, mean: float) -> DataFrame:
     return frequency.select("term", "df", F.when(raw < 0, F.lit(BM25_EPSILON) * F.lit(mean).cast("double")).otherwise(raw).alias("idf"))
 
 
+def query_terms(query: str) -> dict[str, int]:
+    """The terms of a query, and how often each stands there."""
+    return dict(Counter(re.findall(TOKEN, query.lower())))
+
+
 def build(df: DataFrame, id_col: str, text_col: str, queries: dict[object, str] | None = None) -> LexicalIndex:
     """The index of texts, not stored; with ``queries``, postings and statistics of their terms only.
 
     The corpus' size and the mean idf are worked out now, in a pass each.
     """
-    terms = None if queries is None else sorted({t for q in queries.values() for t in re.findall(TOKEN, q.lower())})
+    terms = None if queries is None else sorted({t for q in queries.values() for t in query_terms(q)})
     corpus = corpus_stats(df, text_col)
     stats = corpus.first()
     index, frequency = postings(df, id_col, text_col, terms), text_frequency(df, text_col)

@@ -50,7 +50,11 @@ def search(index, query: str, k: int, category: str | None = None, alpha: float
     from ..sources.embedding import embed_query
 
     routed = route_text(query, index.config.keyword_routes)
-    queries = lexical.query_table(index.spark, {"q": query})
+    only = category or routed
     chunks = index.chunks()
-    semantic, keyword = legs(chunks, index.lexical(), queries, embed_query(index.embedder, query)[0], k, category=category or routed, config=index.config, id_col="chunk_id")
+    both = only and index.config.filter_scope == "both"
+    inside = chunks.filter(F.col("category") == only).select(F.col("chunk_id").alias("id")) if both else None
+    named = lambda df: df.select(F.lit("q").alias("query_id"), "id", "rank")
+    semantic = named(index.vector_search(embed_query(index.embedder, query)[0], min(3 * k, index.config.max_results), only))
+    keyword = named(index.keyword_search(query, 3 * k, inside))
     return format_results(fusion.fuse(semantic, keyword, alpha, k), chunks, routed)

@@ -384,9 +384,10 @@ def doc_id_hash(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", tx.document_id(F.concat_ws("/", "source", F.col("doc_id").cast("string")), F.lit("2024-01-01"), F.col("n_chars")).alias("hash"))
 
 
-def _catalog(spark: SparkSession, sf: str) -> DataFrame:
-    counts = _chunks(docs(spark, sf)).groupBy("doc_id").agg(F.count("*").cast("int").alias("chunks"))
-    rows = docs(spark, sf).select("doc_id", "source", F.col("lang").alias("category"), F.lit(".txt").alias("format"), kw.keywords(F.col("text")).alias("keywords"))
+def _catalog(spark: SparkSession, sf: str, category: str) -> DataFrame:
+    own = docs(spark, sf).filter(F.col("lang") == category)  # reaches the scan, before anything is cut
+    counts = _chunks(own).groupBy("doc_id").agg(F.count("*").cast("int").alias("chunks"))
+    rows = own.select("doc_id", "source", F.col("lang").alias("category"), F.lit(".txt").alias("format"), kw.keywords(F.col("text")).alias("keywords"))
     return rows.join(counts, "doc_id", "left").fillna(0, ["chunks"])
 
 
@@ -395,7 +396,7 @@ def list_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def list_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return cat.list_documents(_catalog(spark, sf), "en").withColumn("keywords", F.array_join("keywords", "|"))
+    return cat.list_documents(_catalog(spark, sf, "en"), "en").withColumn("keywords", F.array_join("keywords", "|"))
 
 
 LIST_DOCUMENTS_SQL = f"""WITH RECURSIVE {chunk_ctes()}, n AS (SELECT doc_id, count(*)::INT AS chunks FROM chunks GROUP BY doc_id),
@@ -509,6 +510,8 @@ ORACLES = {
     "code_imports": CODE_IMPORTS_SQL,
     "json_structure": JSON_STRUCTURE_SQL,
     "json_keys": "SELECT event_id, array_to_string(list_distinct(json_keys(props))[1:20], '|') AS keys FROM events",
+    "pretty_json": """SELECT event_id, '{' || chr(10) || array_to_string(list_transform(json_keys(props), lambda k: '  "' || k || '": ' || json_extract(props, '$."' || k || '"')), ',' || chr(10))
+  || chr(10) || '}' AS content FROM events""",
     "doc_id_hash": "SELECT doc_id, substr(sha256(source || '/' || doc_id || ':2024-01-01:' || n_chars), 1, 16) AS hash FROM documents",
     "list_categories": "SELECT coalesce(lang, 'unknown') AS category, count(*) AS documents FROM documents GROUP BY 1",
     "list_documents": LIST_DOCUMENTS_SQL,

@@ -151,20 +151,23 @@ def classify(
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                made = [classify_text(t, known.value, levels=levels, close=close, min_margin=min_margin, block_bytes=block_bytes) for t in part.column(0).to_pylist()]
+                made = [classify_text(t, known.value, levels=levels, close=close, min_margin=min_margin, block_bytes=block_bytes) for t in part.column(text_at).to_pylist()]
                 langs, scores, rejected = zip(*made, strict=True)
                 yield pa.record_batch(
-                    [*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
-                    names=[*part.schema.names[1:], *names],
+                    [*part.columns[first:], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
+                    names=[*part.schema.names[first:], *names],
                 )
         _compressors.cache_clear()
         release()
 
+    first, text_at = 1, 0  # columns from the first on are returned
     if keep is None:
         rows = docs.select(F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("doc_id"))
+    elif text_col in keep:  # texts go to the workers once
+        rows, first, text_at = docs.select(*[docs[c] for c in keep]), 0, keep.index(text_col)
     else:
         rows = docs.select(F.col(text_col).alias("__text"), *[docs[c] for c in keep])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[first:])
     return rows.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 

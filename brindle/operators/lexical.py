@@ -77,18 +77,37 @@ def query_terms(query: str) -> dict[str, int]:
     return dict(Counter(re.findall(TOKEN, query.lower())))
 
 
+def _counted(df: DataFrame, text_col: str) -> DataFrame:
+    """term, df, dl: a row for each term, with null dl, and one of a null term with the number of texts and of all their tokens.
+
+    Both come from one pass.  What is worked out of it below reads all three
+    columns, so that Spark sees one exchange and makes it once.
+    """
+    split = df.select(tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).select("t", F.size("t").cast("long").alias("n"))
+    term = lambda t: F.struct(t.alias("term"), F.lit(None).cast("long").alias("dl"))
+    text = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("n").alias("dl")))
+    each = split.select(F.explode(F.concat(F.transform(F.array_distinct("t"), term), text)).alias("e"))
+    return each.groupBy("e.term").agg(F.count("*").alias("df"), F.sum("e.dl").alias("dl"))
+
+
 def build(df: DataFrame, id_col: str, text_col: str, queries: dict[object, str] | None = None) -> LexicalIndex:
     """The index of texts, not stored; with ``queries``, postings and statistics of their terms only.
 
-    The corpus' size and the mean idf are worked out now, in a pass each.
+    A search reads the texts twice: for the statistics of the whole vocabulary,
+    and for the postings.
     """
     terms = None if queries is None else sorted({t for q in queries.values() for t in query_terms(q)})
-    corpus = corpus_stats(df, text_col)
-    stats = corpus.first()
-    index, frequency = postings(df, id_col, text_col, terms), text_frequency(df, text_col)
-    own = frequency if terms is None else document_frequency(index)
-    known = term_stats(own, stats["n_docs"], mean_idf(frequency, stats["n_docs"]))
-    return LexicalIndex(index, known, df.sparkSession.createDataFrame([tuple(stats)], corpus.schema))
+    counted = _counted(df, text_col)
+    is_text, none = F.col("dl").isNotNull(), F.lit(0).cast("long")
+    corpus = counted.agg(F.coalesce(F.max(F.when(is_text, F.col("df"))), none).alias("n_docs"), F.coalesce(F.max("dl"), none).alias("total_len"))
+    corpus = corpus.withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total_len") / F.col("n_docs")))
+    size = F.broadcast(corpus.select("n_docs"))  # one row
+    raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = counted.filter(~is_text).crossJoin(size).agg(F.avg(raw).alias("mean"), F.max("n_docs").alias("n_docs"))
+    index = postings(df, id_col, text_col, terms)
+    own = counted.filter(~is_text).select("term", "df") if terms is None else document_frequency(index)
+    known = own.crossJoin(F.broadcast(mean)).select("term", "df", F.when(raw < 0, F.lit(BM25_EPSILON) * F.col("mean")).otherwise(raw).alias("idf"))  # one row
+    return LexicalIndex(index, known, corpus)
 
 
 def query_table(spark: SparkSession, queries: dict[object, str]) -> DataFrame:

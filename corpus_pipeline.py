@@ -13,8 +13,14 @@ from brindle.llm import jaccard_join, langid, mixing, packing, secret_scan
 from brindle.llm.workspace import Workspace, sent
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers a thousand at a time: workers share an executor's memory with the JVM, which keeps a batch too."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; the dictionaries learn from the labels of these documents."""
+    _small_batches(spark)
     found = langid.classify(docs, langid.fit_dictionaries(docs), keep=docs.columns, names=("__lang", "__score", "__rejected"))
     return found.filter(~F.col("__rejected")).select(*docs.columns)
 
@@ -24,6 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows with one id are one document, of which one row stays.  Rows with null ids stay.
     """
+    _small_batches(spark)
     linked = jaccard_join.link_documents(spark, docs, size=5, num=80, den=100)
     gone = Workspace(spark, "gone").save(linked.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "ids")
     left = docs.join(sent(gone, 500_000), "doc_id", "left_anti").select(*docs.columns)
@@ -41,11 +48,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; those of smaller sources again, twice at most."""
+    _small_batches(spark)
     return mixing.mix(docs, max_repeats=2.0, keep=docs.columns, names=("__epoch", "__block", "__position")).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 ids."""
+    _small_batches(spark)
     pieces = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -5,6 +5,11 @@ their limits from the corpus: mergeable quantile sketches of each measure, one
 for each language and source, give fences beyond which a document is an
 outlier of its own kind.  Documents meet their group's fences in a join.
 
+A sketch counts values by buckets of a fixed relative width, and keeps each
+bucket's least and greatest value.  Nothing is drawn at random and nothing
+depends on the order of rows: equal rows have equal fences, however they are
+partitioned and whatever is run again.
+
 DataFrame functions only.  Measures are one narrow pass over the texts; only
 numbers shuffle.  Sketches merge on the map side, so a group may hold any share
 of the rows.
@@ -12,7 +17,7 @@ of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .workspace import Workspace, join_by_key
 
@@ -28,6 +33,8 @@ RULES = {"symbol_share": (0.5, 0.97, False), "dup_line_share": (0.5, 0.97, False
 LEAST = {"symbol_share": ("n_symbols", 1), "dup_line_share": ("n_dup_lines", 1), "repeat_share": ("n_repeat_words", 6)}
 #: Rows of the whole corpus's spread that join a group's own.
 PRIOR_ROWS = 100
+#: Buckets of a sketch from a value to its double: a quantile is off by 1/184 of itself at most.
+BUCKETS = 128
 
 
 def words_of(text: Column) -> Column:
@@ -81,13 +88,49 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _limits(measured: DataFrame, groups: list[str], rules: list[str], *, reach: float, k: int, rows: str = "rows") -> DataFrame:
+def sketched(values: DataFrame, groups: list[str], names: list[str], *, buckets: int = BUCKETS) -> DataFrame:
+    """Quantile sketches of the columns ``names`` (0 or more each): groups, name, bucket, n, least, greatest.
+
+    A row for each bucket in use, of which a group has ``buckets`` for each
+    doubling of a value, and one for 0.  Null values count nowhere.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in names]))
+    rows = values.select(*groups, each.alias("__v")).select(*groups, "__v.name", "__v.value").filter(F.col("value").isNotNull())
+    bucket = F.when(F.col("value") > 0, F.floor(F.log2("value") * buckets).cast("int"))
+    return rows.groupBy(*groups, "name", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+
+
+def merged(sketches: DataFrame, groups: list[str]) -> DataFrame:
+    """One sketch for each group and name, of rows out of many sketches: of parts of the corpus, or of finer groups."""
+    return sketches.groupBy(*groups, "name", "bucket").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+
+
+def quantiles(sketches: DataFrame, groups: list[str], wanted: dict[str, tuple[float, ...]]) -> DataFrame:
+    """For each group ``__rows`` (the largest count of a name) and the columns ``<name>_<i>``: name's i-th wanted quantile.
+
+    A quantile is the value of rank ceil(q * rows), at least 1.  Within its
+    bucket values count as evenly spread from the least to the greatest, which
+    is exact for up to two rows and for equal ones.
+    """
+    own = Window.partitionBy(*groups, "name")  # a row for each bucket
+    counted = sketches.select(*groups, "name", "n", "least", "greatest", F.sum("n").over(own.orderBy(F.asc_nulls_first("bucket"))).alias("__to"), F.sum("n").over(own).alias("__all"))
+    columns = []
+    for name, shares in wanted.items():
+        for i, q in enumerate(shares):
+            rank = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(q) * F.col("__all")))
+            within = rank - (F.col("__to") - F.col("n"))
+            value = F.col("least") + (F.col("greatest") - F.col("least")) * (within - 1) / F.greatest(F.col("n") - 1, F.lit(1))
+            columns.append(F.max(F.when((F.col("name") == name) & within.between(1, F.col("n")), value)).alias(f"{name}_{i}"))
+    return counted.groupBy(*groups).agg(F.max("__all").alias("__rows"), *columns)
+
+
+def _limits(measured: DataFrame, groups: list[str], rules: list[str], *, reach: float, rows: str = "rows") -> DataFrame:
     """``groups``, their ``rows``, and for each rule ``<rule>_hi`` (and ``_lo``): null where the whole corpus has no spread."""
-    sketches = measured.groupBy(*groups).agg(F.count("*").alias("__rows"), *[F.kll_sketch_agg_double(F.col(r), F.lit(k)).alias(r) for r in rules])
-    at = lambda r, q: F.kll_sketch_get_quantile_double(F.col(r), F.lit(q))
-    own = sketches.select(*groups, "__rows", *[at(r, q).alias(f"{r}_{i}") for r in rules for i, q in enumerate(RULES[r][:2])])
+    own = quantiles(sketched(measured, groups, rules), groups, {r: RULES[r][:2] for r in rules})
     spread = lambda r: F.col(f"{r}_1") - F.col(f"{r}_0")
-    usual = own.agg(*[(F.sum(F.col("__rows") * spread(r)) / F.sum("__rows")).alias(f"__{r}") for r in rules])
+    # decimals, whose sum doesn't hang on the order of the groups
+    exact = lambda c: c.cast("decimal(38,9)")
+    usual = own.agg(*[(F.sum(exact(F.col("__rows") * spread(r))).cast("double") / F.sum("__rows")).alias(f"__{r}") for r in rules])
     columns = []
     for r in rules:
         shared = F.col(f"__{r}")
@@ -112,8 +155,8 @@ def _inside(rules: list[str]) -> Column:
     return inside
 
 
-def fences(measured: DataFrame, groups: list[str], space: Workspace, *, reach: float = 3.0, k: int = 800) -> DataFrame:
-    """For each group its ``rows``, and for each rule ``<rule>_hi`` (and ``_lo``), from KLL sketches.
+def fences(measured: DataFrame, groups: list[str], space: Workspace, *, reach: float = 3.0) -> DataFrame:
+    """For each group its ``rows``, and for each rule ``<rule>_hi`` (and ``_lo``), from quantile sketches.
 
     The word length's fences lie beyond the quartiles of the group.  The shares'
     come from the tails of the documents within these, since junk that stands
@@ -124,9 +167,9 @@ def fences(measured: DataFrame, groups: list[str], space: Workspace, *, reach: f
     """
     both_sides = [r for r in RULES if RULES[r][2]]
     tails = [r for r in RULES if not RULES[r][2]]
-    first = space.save(_limits(measured, groups, both_sides, reach=reach, k=k), "fences")
+    first = space.save(_limits(measured, groups, both_sides, reach=reach), "fences")
     usual = join_by_key(measured, first, groups, "rows").filter(_inside(both_sides))
-    last = space.save(_limits(usual, groups, tails, reach=reach, k=k, rows="usual_rows"), "tails")
+    last = space.save(_limits(usual, groups, tails, reach=reach, rows="usual_rows"), "tails")
     named = last.select(*[F.col(g).alias(f"{g}2") for g in groups], *[c for c in last.columns if c not in (*groups, "usual_rows")])
     same = F.lit(True)
     for g in groups:

@@ -1,10 +1,12 @@
 """Threshold-scaled sketches of documents.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash space, or
-all of them where a text has few; these are cut down to the fraction when they
-meet a larger text's.
-Sketches of parts merge by union, sizes follow the documents', and containment
-of a short document in a long one can be estimated.  DataFrame functions only.
+A sketch keeps every shingle hash below a fixed fraction of the hash space, and
+the lowest ``least`` hashes in any case, so that a short text has some.  Both
+rules hold for any set of shingles: a sketch of two texts together is the union
+of theirs, cut by the same rules (:func:`merge`).  How far up a sketch is whole
+can be told from its hashes (:func:`reach`), so two sketches of very unequal
+texts, stored ones too, are compared as far as both are.  Hashes have 32 bits.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,41 +19,54 @@ from .quality import words_of
 from .workspace import shuffle_partitions
 
 
+#: The part of the 64-bit hashes that is kept.
+HIGH = -(1 << 32)
+
+
 def shingle_hashes(words: str, size: int = 5) -> Column:
     """Hashes of all runs of ``size`` words of an array column; fewer words are one shingle, none are none."""
-    run = F.transform(words, lambda x, i: F.xxhash64(x, *[F.get(words, i + j) for j in range(1, size)]))
-    whole = F.when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+    high = lambda *c: F.xxhash64(*c).bitwiseAND(F.lit(HIGH))
+    run = F.transform(words, lambda x, i: high(x, *[F.get(words, i + j) for j in range(1, size)]))
+    whole = F.when(F.size(words) > 0, F.array(high(words))).otherwise(F.array().cast("array<bigint>"))
     return F.when(F.size(words) >= size, F.slice(run, F.lit(1), F.size(words) - size + 1)).otherwise(whole)
 
 
-def below(hashes: Column, scale: int) -> Column:
-    """The distinct hashes in the lowest 1/scale of the hash space, ascending."""
-    limit = -(1 << 63) + (1 << 64) // scale
-    low = hashes if scale == 1 else F.filter(hashes, lambda h: h < F.lit(limit))
-    return F.array_sort(F.array_distinct(low))
+def limit(scale: int) -> int:
+    """Where the lowest 1/scale of the hash space ends."""
+    return -(1 << 63) + (1 << 64) // scale
 
 
-def with_sketch(df: DataFrame, text: Column, name: str, *, size: int = 5, scale: int = 8, whole: int = 0, flag: str | None = None) -> DataFrame:
-    """``df`` with the sketch of ``text`` (array of long) as column ``name``.  Null texts have an empty one.
+def cut(hashes: Column, scale: int, least: int = 0) -> Column:
+    """Of distinct hashes those below the limit, and the ``least`` lowest, ascending."""
+    if scale == 1:
+        return F.array_sort(hashes)
+    low = F.filter(hashes, lambda h: h < F.lit(limit(scale)))
+    return F.when(F.size(low) >= least, F.array_sort(low)).otherwise(F.slice(F.array_sort(hashes), 1, max(1, least)))
 
-    Up to ``whole`` different hashes are all kept; ``flag`` names a column that says whether they are.
-    """
-    held = [c for c in df.columns if c not in (name, flag)]
+
+def with_sketch(df: DataFrame, text: Column, name: str, *, size: int = 5, scale: int = 8, least: int = 0) -> DataFrame:
+    """``df`` with the sketch of ``text`` (array of long) as column ``name``.  Null texts have an empty one."""
+    held = [c for c in df.columns if c != name]
     split = df.select(*held, words_of(F.coalesce(text, F.lit(""))).alias("__words"))
     hashed = split.select(*held, F.array_distinct(shingle_hashes("__words", size)).alias("__hashes"))
-    few = F.size("__hashes") <= whole
-    kept = F.when(few, F.array_sort("__hashes")).otherwise(below(F.col("__hashes"), scale))
-    return hashed.select(*held, kept.alias(name), *([few.alias(flag)] if flag else []))
+    return hashed.select(*held, cut(F.col("__hashes"), scale, least).alias(name))
 
 
-def alike(a: Column, b: Column, whole_a: Column, whole_b: Column, scale: int) -> Column:
-    """:func:`containment` of two sketches at the density that both have."""
-    return F.when(whole_a == whole_b, containment(a, b)).otherwise(containment(below(a, scale), below(b, scale)))
+def merge(a: Column, b: Column, *, scale: int = 8, least: int = 0) -> Column:
+    """Sketch of two texts' shingles together, of theirs."""
+    return cut(F.array_union(a, b), scale, least)
 
 
-def merge(a: Column, b: Column) -> Column:
-    """Sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+def reach(sketch: Column, scale: int, least: int) -> Column:
+    """The hash up to which a sketch holds all of its text's: fewer hashes than ``least`` are all there are."""
+    last = F.when(F.size(sketch) > 0, F.element_at(sketch, -1))
+    return F.when(F.size(sketch) < least, F.lit((1 << 63) - 1)).otherwise(F.greatest(F.lit(limit(scale) - 1), last))
+
+
+def alike(a: Column, b: Column, scale: int, least: int) -> Column:
+    """:func:`containment` of two sketches as far as both are whole."""
+    common = F.least(reach(a, scale, least), reach(b, scale, least))
+    return containment(F.filter(a, lambda h: h <= common), F.filter(b, lambda h: h <= common))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -66,7 +81,14 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def as_text(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ",")
+    """Hashes in eight hexadecimal digits each, ascending, joined by commas."""
+    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(F.shiftrightunsigned(h, 32))), 8, "0")), ",")
+
+
+def from_text(fingerprint: Column) -> Column:
+    """The sketch that :func:`as_text` wrote."""
+    parts = F.filter(F.split(fingerprint, ","), lambda x: x != "")
+    return F.transform(parts, lambda x: F.shiftleft(F.conv(x, 16, 10).cast("long"), 32))
 
 
 def _buckets(place: Column, bounds: Column) -> Column:
@@ -128,7 +150,7 @@ def next_in_order(docs: DataFrame, key: str, carried: list[str], *, rows_per_buc
     )
 
 
-def fingerprints(docs: DataFrame, *, size: int = 5, scale: int = 2, whole: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, *, size: int = 5, scale: int = 8, least: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sketches of every whole text and of its edited text, and their likeness.
 
     The edited text has its last third (in code points, rounded down) replaced
@@ -138,27 +160,28 @@ def fingerprints(docs: DataFrame, *, size: int = 5, scale: int = 2, whole: int =
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.  A fingerprint is the sketch's hashes in hexadecimal,
     ascending, joined by commas.  Likeness is the containment of the smaller
-    sketch, both at 1/``scale`` if only one text has ``whole`` different shingles or
-    fewer, which are all kept; where both texts are equal it is 1, and else 0 if either sketch is empty.
+    sketch, as far as both are whole, and can be worked out from stored
+    fingerprints (:func:`from_text`, :func:`alike`).  It is 1 where both texts are equal, and else 0 if either
+    has no hashes so far: a text of n shingles, fewer than ``least``, beside a long one with probability (1 - 1/``scale``)^n.
 
     Null texts are empty ones.  Null ids come last in the order.  Rows of equal ids
     follow one another, by a hash of their texts.  An empty table gives no rows.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = with_sketch(rows, F.col("text"), "sketch", size=size, scale=scale, whole=whole, flag="whole")
-    pairs = next_in_order(own, "doc_id", ["text", "sketch", "whole"])
+    own = with_sketch(rows, F.col("text"), "sketch", size=size, scale=scale, least=least)
+    pairs = next_in_order(own, "doc_id", ["text", "sketch"])
     third = F.floor(F.length("text") / 3).cast("int")
-    cut = pairs.select("*", F.length("text").cast("long").alias("n_chars"), third.alias("__third"))
+    parts = pairs.select("*", F.length("text").cast("long").alias("n_chars"), third.alias("__third"))
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - F.col("__third")), F.substr("next_text", F.lit(1), F.col("__third")))
-    made = cut.select("doc_id", "n_chars", "sketch", "next_sketch", "whole", "next_whole", (F.col("text") == F.col("next_text")).alias("__same"), edited.alias("__edited"), "text")
+    made = parts.select("doc_id", "n_chars", "sketch", "next_sketch", (F.col("text") == F.col("next_text")).alias("__same"), edited.alias("__edited"), "text")
     made = made.select("*", (F.col("text") == F.col("__edited")).alias("__unedited"), F.sha2("__edited", 256).alias("edited_sha256")).drop("text")
-    both = with_sketch(made, F.col("__edited"), "__sketch2", size=size, scale=scale, whole=whole, flag="__whole2")
+    both = with_sketch(made, F.col("__edited"), "__sketch2", size=size, scale=scale, least=least)
     return both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("__sketch2")).alias("edited_fingerprint"),
-        F.when(F.col("__unedited"), F.lit(1.0)).otherwise(alike(F.col("sketch"), F.col("__sketch2"), F.col("whole"), F.col("__whole2"), scale)).alias("near_edited"),
-        F.when(F.col("__same"), F.lit(1.0)).otherwise(alike(F.col("sketch"), F.col("next_sketch"), F.col("whole"), F.col("next_whole"), scale)).alias("near_next"),
+        F.when(F.col("__unedited"), F.lit(1.0)).otherwise(alike(F.col("sketch"), F.col("__sketch2"), scale, least)).alias("near_edited"),
+        F.when(F.col("__same"), F.lit(1.0)).otherwise(alike(F.col("sketch"), F.col("next_sketch"), scale, least)).alias("near_next"),
     )

@@ -210,6 +210,38 @@ def test_sketch_threshold_and_merge(spark):
     assert both == sorted(set(got[0]) | set(got[1]))
 
 
+def test_merged_sketches_are_those_of_the_joint_text(spark):
+    rng = random.Random(17)
+    for sizes in ((30, 40), (60, 2000), (100, 110), (900, 1500), (0, 50), (3000, 5)):
+        parts = [prose(rng, "en", n).split() for n in sizes]
+        apart = [" ".join(p) for p in parts]
+        docs = table(spark, [(i, t, None, None) for i, t in enumerate(apart)])
+        full = {r["doc_id"]: r["s"] for r in sketch.with_sketch(docs.select("doc_id", "text"), F.col("text"), "s", scale=1).collect()}
+        got = {r["doc_id"]: r["s"] for r in sketch.with_sketch(docs.select("doc_id", "text"), F.col("text"), "s", scale=8, least=64).collect()}
+        rule = lambda all_: [h for i, h in enumerate(sorted(all_)) if h < sketch.limit(8) or i < 64]
+        assert got == {i: rule(h) for i, h in full.items()}
+        pair = spark.createDataFrame([(got[0], got[1])], "a array<long>, b array<long>")
+        m, m2 = pair.select(sketch.merge(F.col("a"), F.col("b"), least=64), sketch.merge(F.col("b"), F.col("a"), least=64)).first()
+        assert m == m2 == rule(set(full[0]) | set(full[1]))
+
+
+def test_stored_fingerprints_say_what_the_query_says(spark):
+    rng = random.Random(18)
+    words = prose(rng, "en", 4000).split()
+    rows = [(5, " ".join(words)), (4, " ".join(words[:120])), (3, " ".join(words[:400])), (2, "one two"), (1, None), (0, " ".join(words[300:2000]))]
+    got = {r["doc_id"]: r for r in sketch.fingerprints(table(spark, [(i, t, None, None) for i, t in rows])).collect()}
+    stored = spark.createDataFrame([(i, got[i]["fingerprint"], got[i]["edited_fingerprint"], got[max(0, i - 1) if i else 5]["fingerprint"]) for i in got], "i int, a string, b string, c string")
+    a, b, c = (sketch.from_text(F.col(x)) for x in "abc")
+    again = {r["i"]: r for r in stored.select("i", sketch.alike(a, b, 8, 128).alias("edited"), sketch.alike(a, c, 8, 128).alias("next")).collect()}
+    for i, t in rows:
+        if t:  # equal texts, empty ones too, are alike whatever the hashes
+            assert (again[i]["edited"], again[i]["next"]) == (got[i]["near_edited"], got[i]["near_next"]), i
+    assert got[5]["near_next"] == got[4]["near_next"] == 1.0 and len(got[5]["fingerprint"]) < len(rows[0][1]) / 3
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    x, y = shingles(words[300:2000]), shingles(words)
+    assert got[0]["near_next"] == pytest.approx(len(x & y) / len(x), abs=0.1)
+
+
 def test_next_in_order(spark):
     keys = [5, -3, 10**18, 7, 7, None, 0, -(2**62)]
     docs = spark.createDataFrame([(k, f"v{i}") for i, k in enumerate(keys)], "doc_id long, text string").repartition(3)
@@ -306,3 +338,75 @@ def test_fences_differ_between_groups_of_the_table(spark):
         assert len({round(r[f"{rule}_hi"], 6) for r in limits}) > len(limits) / 2, rule
     gone = judged.filter(~F.col("kept")).join(labels, "doc_id").agg(F.count("*").alias("n"), F.avg("quality").alias("good")).first()
     assert gone["n"] > 200 and gone["good"] < 0.2
+
+
+def exact_fences(rows):
+    """Fences by sorted values: (group, measures) -> group -> rule -> (low, high)."""
+    import math
+
+    def spreads(rows, rule):
+        found = {}
+        for g in {g for g, _ in rows}:
+            own = sorted(m[rule] for h, m in rows if h == g)
+            at = lambda q, own=own: own[max(1, math.ceil(q * len(own))) - 1]
+            found[g] = (len(own), at(quality.RULES[rule][0]), at(quality.RULES[rule][1]))
+        usual = sum(n * (b - a) for n, a, b in found.values()) / sum(n for n, *_ in found.values())
+        wide = {g: max((n * (b - a) + quality.PRIOR_ROWS * usual) / (n + quality.PRIOR_ROWS), usual / 2) for g, (n, a, b) in found.items()}
+        return {g: (a - 3 * wide[g], (b if quality.RULES[rule][2] else a) + 3 * wide[g]) for g, (_, a, b) in found.items() if wide[g] > 0}
+
+    words = spreads(rows, "mean_word")
+    usual = [(g, m) for g, m in rows if words[g][0] <= m["mean_word"] <= words[g][1]]
+    return {"mean_word": words} | {r: spreads(usual, r) for r in quality.RULES if r != "mean_word"}
+
+
+def test_kept_is_that_of_exact_quantiles(spark):
+    rng = random.Random(31)
+    rows, i = [], 0
+    for source, marks in (("a", 0.02), ("b", 0.3), (None, 0.1)):
+        for _ in range(150):
+            text = " ".join(w + ("#" if rng.random() < marks * rng.random() else "") for w in prose(rng, "en", 60 + i % 90).split())
+            rows.append((i, text if i % 45 else text + " ***" * rng.randrange(60, 200), "en", source))
+            i += 1
+    share = lambda a, b: a / b if b else 0.0
+    measured, failed = {}, set()
+    for i, text, _, source in rows:
+        n, chars, symbols, dups, repeats = plain_measures(text)
+        lines = sum(bool(x.strip()) for x in text.split("\n"))
+        if n < 50 or 100 * repeats > 50 * n:
+            failed.add(i)
+        measured[i] = (source, {"symbol_share": share(symbols, chars), "dup_line_share": share(dups, lines), "repeat_share": share(repeats, n), "mean_word": share(chars, n)}, {"symbol_share": symbols, "dup_line_share": dups, "repeat_share": repeats})
+    limits = exact_fences([(g, m) for i, (g, m, _) in measured.items() if i not in failed])
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(table(spark, rows), keep=["doc_id"]).collect()}
+    decided = 0
+    for i, (g, m, counts) in measured.items():
+        verdicts = []
+        for slack in (-0.02, 0.02):  # the sketches' error, three spreads of it
+            inside = i not in failed
+            for rule, (_, _, low_side) in quality.RULES.items():
+                if g not in limits[rule]:
+                    continue
+                low, high = limits[rule][g]
+                inside &= m[rule] <= high * (1 + slack) or (rule in counts and counts[rule] <= quality.LEAST[rule][1])
+                inside &= not low_side or m[rule] >= low * (1 - slack)
+            verdicts.append(inside)
+        if verdicts[0] == verdicts[1]:
+            decided += 1
+            assert got[i] == verdicts[0], (i, m)
+    assert decided > 0.95 * len(rows) and 8 <= sum(not k for k in got.values()) < 100
+
+
+def test_fences_hang_on_no_chance_and_no_order(spark):
+    value = lambda seed: F.abs(F.randn(seed))
+    drawn = spark.range(120_000).select(F.when(F.col("id") % 3 < 2, F.lit("hot")).otherwise(F.lit("cold")).alias("source"), value(1).alias("symbol_share"), (value(2) / 50).alias("dup_line_share"), value(3).alias("repeat_share"), (value(4) + 4).alias("mean_word"))
+    space = quality.Workspace(spark, "test")
+    measured = space.save(drawn, "drawn")
+    runs = [{r["source"]: r.asDict() for r in quality.fences(m, ["source"], space).collect()} for m in (measured, measured, measured.repartition(1), measured.repartition(13, "mean_word"))]
+    assert runs[0] == runs[1] == runs[2] == runs[3]
+    # quantiles within the stated error, from sketches of parts merged
+    parts = [quality.sketched(measured.filter(f"pmod(hash(mean_word), 3) = {i}"), ["source"], ["mean_word", "symbol_share"]) for i in range(3)]
+    together = quality.merged(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["source"])
+    got = {r["source"]: r for r in quality.quantiles(together, ["source"], {"mean_word": (0.25, 0.75), "symbol_share": (0.5, 0.97)}).collect()}
+    exact = {r["source"]: r for r in measured.groupBy("source").agg(F.percentile_approx("mean_word", [0.25, 0.75], 10**7).alias("w"), F.percentile_approx("symbol_share", [0.5, 0.97], 10**7).alias("s")).collect()}
+    for source, r in got.items():
+        found = [r["mean_word_0"], r["mean_word_1"], r["symbol_share_0"], r["symbol_share_1"]]
+        assert found == pytest.approx([*exact[source]["w"], *exact[source]["s"]], rel=1 / 184)

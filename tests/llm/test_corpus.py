@@ -120,6 +120,40 @@ def test_windows_hold_a_texts_words():
     assert lm.window_ids(b"^one $", coder, 5, 6).tolist()[:3] == [5, *ids("one"), 6]
 
 
+def test_windows_of_huge_words():
+    coder = lm.encoder(PATH)
+    text = ["a", "x1y2" * 3000, "the", "é" * 5000, "cat"]
+    drawn = list(lm.drawn_windows(" ".join(text * 20).encode().split(), 2))
+    assert len(drawn) == 50 and max(map(len, drawn)) < lm.WINDOW_BYTES + lm.BEFORE_BYTES + lm.WINDOW_WORDS + 4
+    for w in drawn:  # none is left out, and each is filled unless it reaches the text's end
+        row = lm.window_ids(w, coder, 0, 49407)
+        assert len(row) == lm.CONTEXT + 1 and ((row >= 0).all() or w.endswith(b" $"))
+
+
+def test_windows_are_as_dense_at_every_size(spark):
+    line = " ".join(f"w{i % 37} q{i % 11} z{i % 5}" for i in range(700))
+    for n in (20, 200):
+        docs = table(spark, [(i, f"t{i} {line}", "en", "s") for i in range(n)])
+        drawn = lm.count_words(docs, PATH, 100).filter(F.substring("key", 1, 2) == F.lit(lm.WINDOW)).agg(F.sum("c")).first()[0]
+        assert drawn == pytest.approx(n * 21.01, abs=n * 0.2)
+
+
+def test_scores_do_not_hang_on_the_layout(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "the", "run") for b in ("", "s", "ta", "ning", "er")]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(60)), "en", "s") for i in range(80)]
+    plain_train = lm.train
+    monkeypatch.setattr(lm, "train", lambda spark, windows, counts: plain_train(spark, windows, counts, task_windows=60))
+    docs = table(spark, rows)
+    runs = [{r["doc_id"]: r["score"] for r in lm.score_documents(spark, d, PATH, window_every=16).collect()} for d in (docs.coalesce(1), docs.orderBy(F.xxhash64("doc_id")).repartition(7))]
+    assert all(runs[0][i] == pytest.approx(runs[1][i], rel=1e-4) for i in runs[0])
+    # training tells more than the counts: held-out texts score higher than untrained
+    monkeypatch.setattr(lm, "train", lambda spark, windows, counts: plain_train(spark, windows, counts, rounds=0))
+    flat = {r["doc_id"]: r["score"] for r in lm.score_documents(spark, docs, PATH, window_every=16).collect()}
+    held = [i for i in flat if zlib.crc32(str(i).encode()) % 5 == 1]
+    assert sum(runs[0][i] for i in held) > sum(flat[i] for i in held)
+
+
 def test_scores(spark, messy, messy_docs, empty_docs, monkeypatch):
     fitted = {}
 
@@ -131,7 +165,7 @@ def test_scores(spark, messy, messy_docs, empty_docs, monkeypatch):
     plain_train = lm.train
     monkeypatch.setattr(lm, "train", train)
     got = collections.defaultdict(list)
-    for r in lm.score_documents(spark, messy_docs, PATH, head_words=50, least_windows=300).collect():
+    for r in lm.score_documents(spark, messy_docs, PATH, head_words=50, window_every=16).collect():
         got[r["doc_id"]].append(r)
     p, out = fitted["model"]
     coder = lm.encoder(PATH)
@@ -173,7 +207,7 @@ def test_all_training_words_count(spark):
 
     def score(end):
         docs = [(i, t + (" the cat" * 4000 + end if i == last else ""), lang, s) for i, t, lang, s in rows] + [(asked, "a zebra quagga", "en", "s")]
-        return {r["doc_id"]: r["score"] for r in lm.score_documents(spark, table(spark, docs), PATH, least_windows=50).collect()}[asked]
+        return {r["doc_id"]: r["score"] for r in lm.score_documents(spark, table(spark, docs), PATH, window_every=16).collect()}[asked]
 
     assert score(" zebra quagga") > score(" horse donkey") + 1
 
@@ -181,7 +215,7 @@ def test_all_training_words_count(spark):
 def test_long_words_are_counted_by_digest(spark):
     long = "x1y2" * 40
     rows = [(i, f"{long} {long.upper()} a", "en", "s") for i in range(30)]
-    got = lm.score_documents(spark, table(spark, rows), PATH, least_windows=20).collect()
+    got = lm.score_documents(spark, table(spark, rows), PATH, window_every=16).collect()
     assert all((r["n_tokens"], r["n_known"]) == (4, 4) for r in got) and {r["train_tokens"] for r in got} == {4 * sum(not r["held_out"] for r in got)}
     total = got[0]["train_tokens"]
     p = lambda c: math.log10((c + 0.5) / (total + 0.5 * 4))

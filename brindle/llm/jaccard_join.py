@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .components import components
 from .shingles import shingle_sets
 from .workers import release
-from .workspace import Workspace, sent, shuffle_partitions
+from .workspace import Workspace, join_by_key, sent, shuffle_partitions
 
 #: Shingles that a task gathers before it counts the frequent ones.
 COUNT_SHINGLES = 1_000_000
@@ -150,26 +150,54 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, order) -> DataFram
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, least long, band long, prefix array<long>")
 
 
+def _parts_of(spark: SparkSession, total: int, most: int) -> int:
+    """Parts of the shingles, of about ``most`` entries at most: their number grows with the corpus."""
+    return max(shuffle_partitions(spark), -(-total // most))
+
+
 def _spreads(held: DataFrame, parts: int, least: int) -> DataFrame:
-    """token, count of the shingles that ``least`` prefixes or more hold.  Only shingles shuffle, as arrays."""
+    """token, count of the shingles that ``least`` prefixes or more hold.
+
+    Tasks count before the shuffle, a bounded number of shingles at a time, so
+    a shingle that all documents hold is a few numbers from each task.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            token = np.sort(batch.column(0).flatten().to_numpy())
+        lists, taken = [], 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal taken
+            token, times = np.unique(np.concatenate(lists), return_counts=True)
+            lists.clear()
+            taken = 0
             part = (token.view(np.uint64) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             own, first = np.unique(part[order], return_index=True)
-            if len(own):
-                cuts = np.append(first, len(token)).astype(np.int32)
-                yield pa.record_batch([pa.array(own, pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(token[order]))], names=["part", "token"])
+            cuts = np.append(first, len(token)).astype(np.int32)
+            columns = [pa.ListArray.from_arrays(cuts, pa.array(c[order])) for c in (token, times.astype(np.int64))]
+            return pa.record_batch([pa.array(own, pa.int64()), *columns], names=["part", "token", "times"])
+
+        for batch in _parts(batches):
+            token = batch.column(0).flatten().to_numpy()
+            if len(token):
+                lists.append(token)
+                taken += len(token)
+            if taken >= COUNT_SHINGLES:
+                yield out()
+        if lists:
+            yield out()
         release()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, now = [], None
 
         def out() -> pa.RecordBatch:
-            token, times = np.unique(np.concatenate(lists), return_counts=True)
+            token, times = (np.concatenate([x[i] for x in lists]) for i in range(2))
             lists.clear()
+            order = np.argsort(token, kind="stable")
+            token, times = token[order], times[order]
+            first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            token, times = token[first], np.add.reduceat(times, first)
             often = times >= least
             return pa.record_batch([pa.array(token[often], pa.int64()), pa.array(times[often], pa.int64())], names=["token", "count"])
 
@@ -178,31 +206,59 @@ def _spreads(held: DataFrame, parts: int, least: int) -> DataFrame:
                 if lists and part != now:
                     yield out()
                 now = part
-                lists.append(batch.column(1)[row].values.to_numpy())
+                lists.append((batch.column(1)[row].values.to_numpy(), batch.column(2)[row].values.to_numpy()))
         if lists:
             yield out()
         release()
 
-    dealt = held.select("prefix").mapInArrow(deal, "part long, token array<long>").repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(count, "token long, count long")
+    dealt = held.select("prefix").mapInArrow(deal, "part long, token array<long>, times array<long>")
+    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "token long, count long")
 
 
 def _holders(held: DataFrame, tokens) -> DataFrame:
     """node of the documents whose prefix holds one of the broadcast ``tokens``, sorted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = tokens.value
         for batch in batches:
             lists = batch.column(1)
             token, count = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            at = np.minimum(np.searchsorted(wanted, token), len(wanted) - 1)
-            rows = np.unique(np.repeat(np.arange(batch.num_rows), count)[wanted[at] == token])
+            rows = np.unique(np.repeat(np.arange(batch.num_rows), count)[_among(tokens.value, token)])
             yield pa.record_batch([batch.column(0).take(pa.array(rows))], names=["node"])
 
     return held.select("node", "prefix").mapInArrow(run, "node long").distinct()
 
 
-def _matrix(groups: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+def _hot_entries(groups: DataFrame, hot, num: int, den: int) -> DataFrame:
+    """The rows of ``_matrix`` of the broadcast shingles ``hot``, sorted ones: only least and greatest values shuffle, not the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = hot.value
+        for batch in _parts(batches):
+            node, n, gid = (batch.column(i).to_numpy() for i in range(3))
+            lists = batch.column(3)
+            token, count = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            row, place = np.repeat(np.arange(len(count)), count), np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+            own = _among(wanted, token)
+            token, row, place = token[own], row[own], place[own]
+            columns = [token, gid[row], node[row], n[row], den * n[row] - (num + den) * place]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["token", "gid", "node", "n", "reach"])
+        release()
+
+    entries = groups.mapInArrow(run, "token long, gid long, node long, n long, reach long")
+    ends = entries.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high"), F.min("n").alias("least"), F.max("reach").alias("most"))
+    ends = ends.filter("low <> high").select(F.col("token").alias("of"), "least", "most")  # a row for each hot shingle
+    kept = entries.join(F.broadcast(ends), F.col("token") == F.col("of")).filter((F.col("reach") >= F.lit(num) * F.col("least")) & (F.col("most") >= F.lit(num) * F.col("n")))
+    return kept.select("token", "gid", "node", "n", "reach")
+
+
+def _among(wanted: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Which tokens are among the sorted ``wanted``."""
+    if not len(wanted):
+        return np.zeros(len(token), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, token), len(wanted) - 1)] == token
+
+
+def _matrix(groups: DataFrame, parts: int, hot, num: int, den: int) -> DataFrame:
     """Rows (token, gid, node, n, reach) of the shingles of several groups, from rows (node, n, gid, prefix).
 
     Two sets that reach the threshold share num * (n + n2) / (num + den) shingles
@@ -212,6 +268,7 @@ def _matrix(groups: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     row of their shingle are left out.
 
     Entries shuffle as arrays, one for each part of the shingles and batch.
+    Those of the broadcast shingles ``hot``, sorted ones, are left to ``_hot_entries``.
     """
     kinds = "token array<long>, gid array<long>, node array<long>, n array<long>, place array<int>"
     names = [k.split()[0] for k in kinds.split(", ")]
@@ -223,9 +280,10 @@ def _matrix(groups: DataFrame, parts: int, num: int, den: int) -> DataFrame:
             token, count = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
             place = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
             part = (token.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            part[_among(hot.value, token)] = parts  # behind all others, and cut off
+            order = np.argsort(part, kind="stable")[: np.count_nonzero(part < parts)]
             own, first = np.unique(part[order], return_index=True)
-            cuts = np.append(first, len(token)).astype(np.int32)
+            cuts = np.append(first, len(order)).astype(np.int32)
             columns = [token, np.repeat(gid, count), np.repeat(node, count), np.repeat(n, count), place.astype(np.int32)]
             if len(own):
                 yield pa.record_batch([pa.array(own, pa.int64()), *[pa.ListArray.from_arrays(cuts, pa.array(c[order])) for c in columns]], names=["part", *names])
@@ -373,7 +431,7 @@ def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _representatives(space: Workspace, digests: DataFrame, classes: DataFrame, most: int):
     """A function that keeps one row of each class, as ``node``, of rows (doc_id, sig, ...)."""
-    others = digests.filter("n > 0").join(classes, "sig").filter("doc_id is null or doc_id <> node").select(F.col("doc_id").alias("id2"), F.col("sig").alias("sig2"))
+    others = join_by_key(digests.filter("n > 0"), classes, ["sig"], "rows").filter("doc_id is null or doc_id <> node").select(F.col("doc_id").alias("id2"), F.col("sig").alias("sig2"))
     others = space.save(others, "others")
     few = others.limit(most + 1).count() <= most
     again = digests.filter("n > 0").groupBy("doc_id", "sig").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
@@ -383,7 +441,7 @@ def _representatives(space: Workspace, digests: DataFrame, classes: DataFrame, m
             same = df["doc_id"].eqNullSafe(F.col("id2")) & (df["sig"] == F.col("sig2"))
             kept = df.join(F.broadcast(others), same, "left_anti")
         else:
-            kept = df.join(classes.withColumnRenamed("sig", "sig2"), (F.col("sig") == F.col("sig2")) & (F.col("doc_id") == F.col("node"))).drop("sig2", "node")
+            kept = df.join(classes.select(F.col("sig").alias("sig2"), "node"), (F.col("sig") == F.col("sig2")) & (F.col("doc_id") == F.col("node"))).drop("sig2", "node")
         kept = kept if again else kept.dropDuplicates(["sig"])
         return kept.select(F.col("doc_id").alias("node"), "n", "least", "band", "prefix")
 
@@ -404,6 +462,8 @@ def link_documents(
     frequent_in_task: int = 2,
     common_rows: int = 8,
     hub_rounds: int = 5,
+    part_shingles: int = 2_000_000,
+    hot_rows: int = 500_000,
     send_rows: int = 500_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -421,7 +481,9 @@ def link_documents(
     are sent to tasks: what is frequent within tasks, from frequent_in_task
     documents on, and what else is in the corpus' prefixes, from common_rows on.
     hub_rounds: so often, at most, hubs are asked before all that is left is
-    compared.  send_rows: tables of ids are broadcast up to so many rows, and joined
+    compared.  part_shingles: a task joins about so many entries of prefixes at a
+    time.  hot_rows: a shingle that so many prefixes hold, or a frequent_tokens-th of
+    all entries, is met by its extremes instead.  send_rows: tables of ids are broadcast up to so many rows, and joined
     by a shuffle beyond.  These change the work, never the result.
 
     Null, empty and blank texts have no shingles, link with nothing and are
@@ -434,14 +496,16 @@ def link_documents(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = space.save(_digests(rows, size, frequent_in_task), "digests")
     digests = first.filter(F.col("n").isNotNull()).select("doc_id", "n", "sig")
-    classes = space.save(digests.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("node")), "classes")
+    classes = space.save(digests.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "classes")
 
     # prefixes of one document of each class; once more for those that hold shingles that no task could know as frequent
     reps = _representatives(space, digests, classes, send_rows)
     counts = first.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("count"))
     tokens, often = _frequent(counts, frequent_tokens)
     held = space.save(reps(_prefixes(rows, size, num, den, spark.sparkContext.broadcast((tokens, often)))), "prefixes")
-    more, times = _frequent(_spreads(held, shuffle_partitions(spark), common_rows), frequent_tokens)
+    documents, total = held.agg(F.count("*"), F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1), F.lit(0))).first()
+    parts = _parts_of(spark, total, part_shingles)
+    more, times = _frequent(space.save(_spreads(held, parts, common_rows), "spreads"), frequent_tokens)
     new = ~np.isin(more, tokens)
     if new.any():
         # all that is new moves behind in the order, so prefixes without it stay as they are
@@ -452,13 +516,22 @@ def link_documents(
         held = space.save(held.join(moved, F.col("node") == F.col("moved"), "left_anti").union(reps(_prefixes(again, size, num, den, order))), "placed")
         space.drop("prefixes")
 
-    parts = F.greatest(F.ceil(F.count("*") / group_members), F.ceil(F.sum("n") / group_shingles)).alias("parts")
-    crowd = held.groupBy("least", "band").agg(parts).filter("parts > 1")
+    # a shingle is once in a prefix: no more than ``documents`` hold it
+    many = max(hot_rows, total // frequent_tokens)
+    hot = np.zeros(0, np.int64)
+    if documents >= many:
+        hot = np.sort(_spreads(held, parts, many).select("token").toArrow().column(0).to_numpy())  # frequent_tokens at most
+    hot = spark.sparkContext.broadcast(hot)
+
+    pieces = F.greatest(F.ceil(F.count("*") / group_members), F.ceil(F.sum("n") / group_shingles)).alias("parts")
+    crowd = held.groupBy("least", "band").agg(pieces).filter("parts > 1")
     share = F.pmod(F.xxhash64("node"), F.col("parts"))
     groups = held.join(sent(crowd, send_rows), ["least", "band"], "left").select(
         "node", "n", F.xxhash64("least", "band", F.coalesce(share, F.lit(0).cast("long"))).alias("gid"), "prefix"
     )
-    meet = space.save(_matrix(groups.select("node", "n", "gid", "prefix"), shuffle_partitions(spark), num, den), "meet")
+    lists = groups.select("node", "n", "gid", "prefix")
+    meet = _matrix(lists, parts, hot, num, den)
+    meet = space.save(meet.union(_hot_entries(lists, hot, num, den)) if len(hot.value) else meet, "meet")
 
     members = space.save(groups.select("gid", "node"), "members")
     sizes = space.save(members.groupBy("gid").agg(F.count("*").alias("n")), "sizes")
@@ -530,5 +603,8 @@ def link_documents(
     links, _ = compare(asked, larger.limit(0), "rest")
     roots = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), space, "rest")
 
-    named = digests.join(classes, "sig", "left").join(roots.withColumnRenamed("node", "node2"), F.col("node") == F.col("node2"), "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(F.col("doc_id")).alias("component_id"))
+    # the root goes to the classes first, and frequent classes are broadcast: a text that many rows hold is no task's load
+    found = classes.join(roots.withColumnRenamed("node", "node2"), F.col("node") == F.col("node2"), "left")
+    found = space.save(found.select("sig", "rows", F.coalesce("root", "node").alias("component")), "found")
+    named = join_by_key(digests, found, ["sig"], "rows", how="left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

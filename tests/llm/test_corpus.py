@@ -376,7 +376,7 @@ def joined(spark, docs, **options):
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link_documents(spark, docs, **options).collect()), key=key)
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, {"size": 4, "num": 85}), (2, {"size": 5, "num": 80}), (3, {"size": 2, "num": 60, "group_members": 3, "group_askers": 2}), (4, {"size": 4, "num": 85, "common_rows": 2, "frequent_tokens": 40, "send_rows": 0})])
+@pytest.mark.parametrize(("seed", "options"), [(1, {"size": 4, "num": 85}), (2, {"size": 5, "num": 80}), (3, {"size": 2, "num": 60, "group_members": 3, "group_askers": 2}), (4, {"size": 4, "num": 85, "common_rows": 2, "frequent_tokens": 40, "send_rows": 0}), (5, {"size": 4, "num": 85, "hot_rows": 3, "part_shingles": 200})])
 def test_join(spark, seed, options):
     rows = copies(random.Random(seed), 220)
     want = sorted(plain_components(rows, options["size"], options["num"], 100))
@@ -395,6 +395,28 @@ def test_join_edges(spark, messy, messy_docs, empty_docs):
         assert joined(spark, table(spark, edge), size=4, num=num) == sorted(plain_components(edge, 4, num, 100))
 
 
+def test_frequent_shingles_and_texts_of_the_join(spark):
+    """Entries of hot shingles are those of the matrix without hot ones; a text that half of the rows hold is one class."""
+    rng = random.Random(6)
+    prefixes = [sorted(rng.sample(range(40), rng.randint(1, 12))) + rng.sample(range(100, 10**6), 5) for _ in range(300)]
+    rows = [(i, rng.randint(20, 30), i % 17, p) for i, p in enumerate(prefixes)]
+    groups = spark.createDataFrame(rows, "node long, n long, gid long, prefix array<long>").repartition(3)
+    counts = collections.Counter(t for p in prefixes for t in p)
+    spreads = {r["token"]: r["count"] for r in jaccard_join._spreads(groups.select("prefix"), 7, 2).collect()}
+    assert spreads == {t: c for t, c in counts.items() if c >= 2}
+    none, hot = (spark.sparkContext.broadcast(np.array(t, np.int64)) for t in ([], sorted(t for t, c in counts.items() if c >= 60)))
+    assert 0 < len(hot.value) < 40
+    whole = jaccard_join._matrix(groups, 7, none, 80, 100)
+    parts = jaccard_join._matrix(groups, 7, hot, 80, 100).union(jaccard_join._hot_entries(groups, hot, 80, 100))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+    assert jaccard_join._parts_of(spark, 10**12, 2_000_000) == 500_000
+
+    texts = [(i, "one text of many rows and of no other place" if i % 2 else prose(rng, "en", 30), "en", "s") for i in range(200)]
+    for send_rows in (0, 500_000):
+        got = joined(spark, table(spark, texts), size=4, num=85, send_rows=send_rows, hot_rows=20)
+        assert got == sorted(plain_components(texts, 4, 85, 100))
+
+
 def test_near_copies_cost_a_comparison_each(spark, monkeypatch):
     compared, plain_links = [], jaccard_join._links
 

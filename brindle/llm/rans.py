@@ -13,6 +13,7 @@ Files: a Parquet folder ``blocks`` (a row for each block, see BLOCK), the table
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -235,23 +236,30 @@ def write_ids(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard, number, first, before = None, None, 0, 0, 0
-        held, size, segments = [], 0, []  # what no block has taken yet
+        held, size, segments = deque(), 0, deque()  # what no block has taken yet
         ready: list[tuple] = []
 
         def cut(n: int) -> None:
             """Take the next n ids as a block."""
-            nonlocal held, size, segments, number, first
-            joined = np.concatenate(held) if held else np.zeros(0, np.uint32)
-            mine, rest, room = [], [], n
-            for doc_id, doc_first, start, length, doc_len in segments:
+            nonlocal size, number, first
+            taken, mine, room = [], [], n
+            while room:
+                taken.append(held[0][:room])
+                held[0] = held[0][room:]  # a view: a long document isn't copied for each of its blocks
+                room -= len(taken[-1])
+                if not len(held[0]):
+                    held.popleft()
+            room = n
+            while segments and (room or not segments[0][3]):
+                doc_id, doc_first, start, length, doc_len = segments.popleft()
                 part = min(length, room)
-                if part or not length:
-                    mine.append((doc_id, doc_first, start, part, doc_len))
+                mine.append((doc_id, doc_first, start, part, doc_len))
                 if length > part:
-                    rest.append((doc_id, doc_first, start + part, length - part, doc_len))
+                    segments.appendleft((doc_id, doc_first, start + part, length - part, doc_len))
                 room -= part
-            ready.append((number, first, joined[:n].astype(np.uint32), mine))
-            held, size, segments = [joined[n:]], size - n, rest
+            block = np.concatenate(taken) if taken else np.zeros(0, np.uint32)
+            ready.append((number, first, block.astype(np.uint32, copy=False), mine))
+            size -= n
             number, first = number + 1, first + n
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -269,7 +277,8 @@ def write_ids(
             for doc_id, raw, width, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # noqa: B007
                 block = _as_ids(raw, width)
                 segments.append((doc_id, before, 0, len(block), len(block)))
-                held.append(block)
+                if len(block):
+                    held.append(block)
                 size += len(block)
                 before += len(block)
                 while size >= BLOCK_IDS:

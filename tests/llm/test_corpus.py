@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -10,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +132,21 @@ def test_windows_of_huge_words():
         assert len(row) == lm.CONTEXT + 1 and ((row >= 0).all() or w.endswith(b" $"))
 
 
+def test_every_id_of_every_text_is_trained_on(spark):
+    """Windows of the default hold all ids, ends included, of long, short and blank texts; each behind the id before it."""
+    coder = lm.encoder(PATH)
+    texts = ["One two three.", "word " * 500 + "LAST", None, "", "straße " + "x" * 300, " ".join(f"w{i}" for i in range(700))]
+    ids = lambda t: [i for w in lm.split_words(pa.array([t]))[0] for i in np.frombuffer(coder.words.fresh(w.decode()), "<u4").tolist()]
+    want = []
+    for t in texts:
+        whole = [7, *ids(t), 49407]
+        want += [tuple(whole[i : i + lm.CONTEXT + 1] + [-1] * (lm.CONTEXT + 1 - len(whole[i : i + lm.CONTEXT + 1]))) for i in range(0, len(whole) - 1, lm.CONTEXT)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    got = [tuple(np.frombuffer(r["ids"], "<i4").tolist()) for r in lm.all_windows(rows, PATH, 7, 49407).collect()]
+    assert sorted(got) == sorted(want)
+    assert inspect.signature(lm.score_documents).parameters["window_every"].default is None
+
+
 def test_windows_are_as_dense_at_every_size(spark):
     line = " ".join(f"w{i % 37} q{i % 11} z{i % 5}" for i in range(700))
     for n in (20, 200):

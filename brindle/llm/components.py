@@ -14,7 +14,7 @@ from .workspace import Workspace
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")  # a row for each edge: the small star makes them distinct
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -26,11 +26,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, space: Workspace, name: str = "") -> DataFrame:
     """node, root: the least node reachable from each node of ``links`` (a, b), for all but the roots themselves."""
-    edges = space.save(links.select("a", "b").filter("a <> b").distinct(), f"edges{name}0")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    mark = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
+    edges = space.save(links.select("a", "b").filter("a <> b").distinct(), f"edges{name}0", mark=mark)
     before, turn = None, 0
-    while (now := mark(edges)) != before:
-        before, turn = now, turn + 1
-        edges = space.save(_small_star(_large_star(edges)), f"edges{name}{turn}")
+    while space.told[f"edges{name}{turn}"] != before and space.told[f"edges{name}{turn}"]["rows"]:
+        before, turn = space.told[f"edges{name}{turn}"], turn + 1
+        edges = space.save(_small_star(_large_star(edges)), f"edges{name}{turn}", mark=mark)
         space.drop(f"edges{name}{turn - 1}")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

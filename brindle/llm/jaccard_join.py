@@ -433,7 +433,7 @@ def _representatives(space: Workspace, digests: DataFrame, classes: DataFrame, m
     """A function that keeps one row of each class, as ``node``, of rows (doc_id, sig, ...)."""
     others = join_by_key(digests.filter("n > 0"), classes, ["sig"], "rows").filter("doc_id is null or doc_id <> node").select(F.col("doc_id").alias("id2"), F.col("sig").alias("sig2"))
     others = space.save(others, "others")
-    few = others.limit(most + 1).count() <= most
+    few = space.told["others"]["rows"] <= most
     again = digests.filter("n > 0").groupBy("doc_id", "sig").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
 
     def keep(df: DataFrame) -> DataFrame:
@@ -502,8 +502,9 @@ def link_documents(
     reps = _representatives(space, digests, classes, send_rows)
     counts = first.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("count"))
     tokens, often = _frequent(counts, frequent_tokens)
-    held = space.save(reps(_prefixes(rows, size, num, den, spark.sparkContext.broadcast((tokens, often)))), "prefixes")
-    documents, total = held.agg(F.count("*"), F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1), F.lit(0))).first()
+    entries = F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1), F.lit(0))
+    held = space.save(reps(_prefixes(rows, size, num, den, spark.sparkContext.broadcast((tokens, often)))), "prefixes", entries=entries)
+    documents, total = space.told["prefixes"]["rows"], space.told["prefixes"]["entries"]
     parts = _parts_of(spark, total, part_shingles)
     more, times = _frequent(space.save(_spreads(held, parts, common_rows), "spreads"), frequent_tokens)
     new = ~np.isin(more, tokens)
@@ -511,7 +512,7 @@ def link_documents(
         # all that is new moves behind in the order, so prefixes without it stay as they are
         order = spark.sparkContext.broadcast((np.concatenate([tokens, more[new]]), np.concatenate([often, times[new]])))
         moved = space.save(_holders(held, spark.sparkContext.broadcast(np.sort(more[new].view(np.int64)))), "moved")
-        moved = sent(moved.withColumnRenamed("node", "moved"), send_rows)
+        moved = sent(moved.withColumnRenamed("node", "moved"), send_rows, space.told["moved"]["rows"])
         again = rows.join(moved, F.col("doc_id") == F.col("moved"), "left_semi")
         held = space.save(held.join(moved, F.col("node") == F.col("moved"), "left_anti").union(reps(_prefixes(again, size, num, den, order))), "placed")
         space.drop("prefixes")
@@ -540,19 +541,19 @@ def link_documents(
         """Links of rows (target, node) with the groups they ask, and within the groups ``inside`` (target); and these rows, stored."""
         asked = space.save(asked, f"asked_{name}")
         copies = asked.groupBy("target").agg(F.count("*").alias("n")).union(inside.select("target", F.lit(0).cast("long"))).groupBy("target").agg(F.sum("n").alias("n"))
-        copies = space.save(copies.select("target", F.greatest(F.lit(1), F.ceil(F.col("n") / group_askers)).alias("copies")), f"copies_{name}")
-        dealt = asked.join(sent(copies.filter("copies > 1"), send_rows), "target", "left")
+        copies = space.save(copies.select("target", F.greatest(F.lit(1), F.ceil(F.col("n") / group_askers)).alias("copies")), f"copies_{name}", several=F.count_if(F.col("copies") > 1))
+        dealt = asked.join(sent(copies.filter("copies > 1"), send_rows, space.told[f"copies_{name}"]["several"]), "target", "left")
         askers = dealt.select("target", F.coalesce(F.pmod(F.xxhash64("node"), F.col("copies")), F.lit(0).cast("long")).alias("copy"), F.lit(1).alias("role"), "node")
         held = members.join(copies, F.col("gid") == F.col("target")).select("target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("role"), "node")
         work = space.save(held.union(askers), f"work_{name}")
         # texts shuffle for less than their sets do
-        texts = rows.join(sent(work, send_rows), F.col("doc_id") == F.col("node")).select("target", "copy", "role", "node", "text")
+        texts = rows.join(sent(work, send_rows, space.told[f"work_{name}"]["rows"]), F.col("doc_id") == F.col("node")).select("target", "copy", "role", "node", "text")
         texts = texts.repartition(shuffle_partitions(spark), "target", "copy").sortWithinPartitions("target", "copy", "role", "node")
         return space.save(_links(texts, size, num, den), f"links_{name}"), asked
 
-    def rooted(known: DataFrame, name: str) -> DataFrame:
+    def rooted(known: DataFrame, rows: int, name: str) -> DataFrame:
         """gid, node, root of all documents."""
-        named = members.join(sent(known.withColumnRenamed("node", "of"), send_rows), F.col("node") == F.col("of"), "left")
+        named = members.join(sent(known.withColumnRenamed("node", "of"), send_rows, rows), F.col("node") == F.col("of"), "left")
         return space.save(named.select("gid", "node", F.coalesce("root", "node").alias("root")), f"rooted{name}")
 
     def still_open(entries: DataFrame, named: DataFrame, name: str) -> DataFrame:
@@ -571,18 +572,18 @@ def link_documents(
     # A hub belongs to the component that most of the shingle's documents are in, so only the others ask.
     nothing = spark.createDataFrame([], "a long, b long")
     larger = sizes.filter("n > 1").select(F.col("gid").alias("target"))
-    known, asked_before, entries = nothing.toDF("node", "root"), nothing.toDF("target", "node"), meet.withColumn("root", F.lit(0).cast("long"))
+    known, n_known, asked_before, entries = nothing.toDF("node", "root"), 0, nothing.toDF("target", "node"), meet.withColumn("root", F.lit(0).cast("long"))
     for turn in range(hub_rounds):
         if turn:
-            entries = still_open(entries.drop("root"), rooted(known, str(turn)), str(turn))
+            entries = still_open(entries.drop("root"), rooted(known, n_known, str(turn)), str(turn))
         place = F.struct(F.xxhash64("gid", F.lit(turn)).alias("turn"), "gid", "least", "most")
         kinds = spots(entries).groupBy("token", "root").agg(F.sum("c").alias("c"), F.count("*").alias("gids"), F.min(place).alias("hub"))
         hubs = kinds.groupBy("token").agg(F.max(F.struct("c", "root", "hub")).alias("main"), F.sum("c").alias("c"), F.sum("gids").alias("gids")).select(
             F.col("token").alias("of"), F.col("main.root").alias("main"), F.col("main.hub.gid").alias("target"), "main.hub.least", "main.hub.most", (F.col("c") - F.col("main.c")).alias("others"), "gids"
         )
         if turn:
-            hubs = space.save(hubs, f"hubs{turn}")
-            work = hubs.agg(F.coalesce(F.sum(F.col("others") * F.col("gids")), F.lit(0)).alias("all"), F.coalesce(F.sum("others"), F.lit(0)).alias("round")).first()
+            hubs = space.save(hubs, f"hubs{turn}", all=F.coalesce(F.sum(F.col("others") * F.col("gids")), F.lit(0)), round=F.coalesce(F.sum("others"), F.lit(0)))
+            work = space.told[f"hubs{turn}"]
             if work["all"] <= 2 * work["round"]:  # all that is left costs little more than another round
                 break
         asked = entries.join(hubs, F.col("token") == F.col("of")).filter(may_link)
@@ -590,18 +591,23 @@ def link_documents(
         links, asked = compare(asked, larger if not turn else larger.limit(0), f"hub{turn}")
         asked_before = asked_before.union(asked)
         known = space.save(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), space, f"hub{turn}"), f"roots{turn}")
+        n_known = space.told[f"roots{turn}"]["rows"]
+    else:
+        turn = "rest"
+        entries = still_open(entries.drop("root"), rooted(known, n_known, turn), turn)
+    roots = known
 
     # what is left: where documents of two components hold a shingle, those of the one that holds it less often ask the other's groups
-    entries = still_open(entries.drop("root"), rooted(known, "rest"), "rest")
-    there = space.save(spots(entries), "spots")
-    kinds = there.groupBy("token", "root").agg(F.sum("c").alias("c"))
-    others = kinds.select(F.col("token").alias("token2"), F.struct("c", "root").alias("more"))
-    between = kinds.join(others, (F.col("token") == F.col("token2")) & (F.struct("c", "root") < F.col("more"))).select("token", "root", F.col("more.root").alias("root2"))
-    targets = there.select(F.col("token").alias("t2"), F.col("root").alias("r2"), F.col("gid").alias("target"), "least", "most")
-    asked = entries.join(between, ["token", "root"]).join(targets, (F.col("token") == F.col("t2")) & (F.col("root2") == F.col("r2")))
-    asked = asked.filter(may_link).select("target", "node").distinct().join(asked_before, ["target", "node"], "left_anti")
-    links, _ = compare(asked, larger.limit(0), "rest")
-    roots = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), space, "rest")
+    if space.told[f"entries{turn}"]["rows"]:
+        there = space.save(spots(entries), "spots")
+        kinds = there.groupBy("token", "root").agg(F.sum("c").alias("c"))
+        others = kinds.select(F.col("token").alias("token2"), F.struct("c", "root").alias("more"))
+        between = kinds.join(others, (F.col("token") == F.col("token2")) & (F.struct("c", "root") < F.col("more"))).select("token", "root", F.col("more.root").alias("root2"))
+        targets = there.select(F.col("token").alias("t2"), F.col("root").alias("r2"), F.col("gid").alias("target"), "least", "most")
+        asked = entries.join(between, ["token", "root"]).join(targets, (F.col("token") == F.col("t2")) & (F.col("root2") == F.col("r2")))
+        asked = asked.filter(may_link).select("target", "node").distinct().join(asked_before, ["target", "node"], "left_anti")
+        links, _ = compare(asked, larger.limit(0), "rest")
+        roots = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), space, "rest")
 
     # the root goes to the classes first, and frequent classes are broadcast: a text that many rows hold is no task's load
     found = classes.join(roots.withColumnRenamed("node", "node2"), F.col("node") == F.col("node2"), "left")

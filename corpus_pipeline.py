@@ -32,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     _small_batches(spark)
     linked = jaccard_join.link_documents(spark, docs, size=5, num=80, den=100)
-    gone = Workspace(spark, "gone").save(linked.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "ids")
-    left = docs.join(sent(gone, 500_000), "doc_id", "left_anti").select(*docs.columns)
+    space = Workspace(spark, "gone")
+    gone = space.save(linked.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "ids")
+    left = docs.join(sent(gone, 500_000, space.told["ids"]["rows"]), "doc_id", "left_anti").select(*docs.columns)
     ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
     if ids.filter("rows > 1").isEmpty():
         return left

@@ -472,6 +472,27 @@ def test_shingles_of_long_texts(monkeypatch):
     assert [s.tolist() for s in shingle_sets(pa.array(["pad", *texts]).slice(1), 3)] == [s.tolist() for s in whole]
 
 
+def jobs_of(spark, group, run):
+    """How many jobs Spark runs for a call."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_counting_stored_tables_costs_no_jobs(spark):
+    """A driver keeps what it knows of jobs: numbers of rows, and whether a turn of the stars changed a link, come with the writing."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 40, 2)] + [(i, i - 1) for i in range(2, 40, 2)], "a long, b long")
+    found, stars = jobs_of(spark, "stars", lambda: components.components(links, Workspace(spark, "jobs"), "jobs"))
+    assert {r["node"]: r["root"] for r in found.collect()} == {i: 0 for i in range(1, 40)}
+    texts = table(spark, [(i, " ".join(f"w{i // 3}x{j}" for j in range(40)) + " end" * (i % 3), "en", "s") for i in range(30)])
+    found, joins = jobs_of(spark, "joins", lambda: jaccard_join.link_documents(spark, texts, size=4, num=80))
+    assert {r["component_id"] for r in found.collect()} == set(range(0, 30, 3))
+    assert stars <= 60 and joins <= 100  # 74 and 146 when each number was a job
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(50)] + [(500, 500)]

@@ -5,8 +5,10 @@ import collections
 import hashlib
 import inspect
 import math
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -147,6 +149,29 @@ def test_every_id_of_every_text_is_trained_on(spark):
     assert inspect.signature(lm.score_documents).parameters["window_every"].default is None
 
 
+def test_training_leaves_no_shuffle_files(spark, monkeypatch):
+    """Each round shuffles its windows: their files go with the round, and the windows with the training."""
+    folders = [f.toString() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    kept = lambda: {name for top in folders for _, _, names in os.walk(top) for name in names if name.startswith("shuffle_")}
+    plain_train, found = lm.train, {}
+
+    def train(spark, windows, counts):
+        before, out = kept(), plain_train(spark, windows, counts)
+        for _ in range(50):  # they go in the background
+            if kept() <= before:
+                break
+            time.sleep(0.2)
+        found["left"], found["windows"] = kept() - before, windows
+        return out
+
+    monkeypatch.setattr(lm, "train", train)
+    docs = table(spark, [(i, f"one two t{i} " * 50, "en", "s") for i in range(20)])
+    assert lm.score_documents(spark, docs, PATH).count() == 20
+    assert not found["left"]
+    with pytest.raises(Exception, match="(?i)not.?exist|no such"):
+        found["windows"].count()
+
+
 def test_windows_are_as_dense_at_every_size(spark):
     line = " ".join(f"w{i % 37} q{i % 11} z{i % 5}" for i in range(700))
     for n in (20, 200):

@@ -8,6 +8,8 @@ import math
 import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -108,6 +110,51 @@ def test_training_learns():
     assert losses[0] > 1.8 and np.mean(losses[-10:]) < 0.3
 
 
+def test_steps_keep_their_memory():
+    """A worker that trains doesn't give arrays back to the system at each step, whose pages it would fault in again."""
+    code = """
+import resource
+import numpy as np
+from brindle.llm import attention_lm as lm, workers
+rows = np.random.default_rng(0).integers(0, 3000, (1280, 33))
+out, bias, lean = lm.leaves(np.bincount(rows.ravel(), minlength=3000), np.arange(3000) % 48, 48)
+p = lm.new_parameters(3000, bias, lean)
+getattr(workers, "keep", int)()
+lm.fit(p, out, rows[:640])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+lm.fit(p, out, rows)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / 20)
+"""
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    ran = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"OMP_NUM_THREADS": "1"}, capture_output=True, text=True, check=True, timeout=120)
+    assert float(ran.stdout) < 150
+
+
+@pytest.mark.parametrize("far", [200, -200])
+def test_gradients_of_far_off_weights(far):
+    """What is added to all weights of a softmax changes nothing, however much it is."""
+    r = np.random.default_rng(3)
+    p, out = small_model()
+    inputs, targets = r.integers(0, 10, (3, 6)), r.integers(0, 9, (3, 6))
+    moved = p | {"near": p["near"] + np.float32(far), "bias": p["bias"] + np.float32(far)}
+    (a, d), (b, e) = (lm.gradients(x, out, inputs, targets, np.ones((3, 6), bool)) for x in (p, moved))
+    assert a == pytest.approx(b, abs=1e-4)
+    assert all(np.allclose(d[k][1] if k in lm.ROWS else d[k], e[k][1] if k in lm.ROWS else e[k], atol=1e-4) for k in d)
+
+
+def test_words_are_encoded_once_for_all_tasks(monkeypatch):
+    coder, asked = lm.encoder(PATH), []
+    coder.words.clear()
+    plain = type(coder.words).fresh
+    monkeypatch.setattr(type(coder.words), "fresh", lambda self, word: asked.append(word) or plain(self, word))
+    for _ in range(2):
+        words = lm.Words(coder, {}, 49407, 0)
+        where, _ = words.places([[b"kept", b"words,", b"kept", b"w" * 99]])
+        want = [*np.frombuffer(b"".join(plain(coder.words, w) for w in ("kept", "words,", "kept", "w" * 99)), "<u4"), 49407]
+        assert words.ids_of(where)[0].tolist() == want
+    assert asked == ["kept", "words,", "w" * 99, "w" * 99]  # long ones aren't kept
+
+
 def test_windows_hold_a_texts_words():
     coder = lm.encoder(PATH)
     ids = lambda t: np.frombuffer(coder.encode(t), "<u4").tolist()
